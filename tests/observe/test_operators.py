@@ -1,0 +1,276 @@
+"""Functions, operators and sources on small inputs."""
+
+import gzip
+import random
+import re
+import unicodedata
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagedrift.functions import differences, fetching, text, urls
+from pagedrift.operators import coverage, events, queue, triage
+from pagedrift.sources import documents, listings, pages
+from pagedrift.streaming import volume
+
+T0 = datetime(2024, 1, 1)
+
+
+def one(spark, value, f, kind="string"):
+    return [r[0] for r in spark.createDataFrame([(v,) for v in value], f"v {kind}").select(f(F.col("v"))).collect()]
+
+
+def slow_normal(t):
+    """The rules by a scan of characters."""
+    t = unicodedata.normalize("NFC", t).replace("\r\n", "\n").replace("\r", "\n")
+    t = "".join(c for c in t if c not in text.INVISIBLE).replace(text.LEGACY_KHANDA_TA, text.KHANDA_TA)
+    joiners = text.ZWJ + text.ZWNJ
+    t = "".join(c for i, c in enumerate(t) if c not in joiners or i == 0 or t[i - 1] != c)
+    edge = lambda c: c == "" or c.isspace() or unicodedata.category(c)[0] in "PZ"
+    kept = ""
+    for i, c in enumerate(t):
+        if c in joiners and (edge(kept[-1:]) or edge(t[i + 1 : i + 2])):
+            continue
+        kept += c
+    for group, to in ((text.DOUBLE_QUOTES, '"'), (text.SINGLE_QUOTES, "'"), (text.DASHES, "-")):
+        kept = "".join(to if c in group else c for c in kept)
+    rows = ["".join(" " if c.isspace() else c for c in x) for x in kept.split("\n")]
+    rows = [re.sub(" +", " ", x).strip() for x in rows]
+    return unicodedata.normalize("NFC", "\n".join(x for x in rows if x))
+
+
+def test_normalise(spark):
+    rng = random.Random(7)
+    alphabet = ["a", "b", " ", "\u00a0", "\u2009", "\n", "\r", ".", text.ZWJ, text.ZWNJ, "\u09a4", "\u09cd", "\u09be", "\u09c7", "\u200b", "\u201c", "\u2014", "\u0301", "e", "\x1c", "\u3000", "|"]
+    made = ["".join(rng.choices(alphabet, k=rng.randint(0, 9))) for _ in range(3000)]
+    assert one(spark, made, text.normalise) == [slow_normal(m) for m in made]
+    assert one(spark, [None, ""], text.text_hash) == ["e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"] * 2
+    a, b, c = one(spark, ["x\ny", "x y", "x\u09e6"], text.text_hash)
+    assert len({a, b, c}) == 3
+
+
+def test_canonical_urls(spark):
+    cases = {
+        "HTTPS://WWW.Example.com/A?utm_source=x": "https://www.example.com/A",
+        "http://e.com/a?b=2&a=1&fbclid=9#frag": "http://e.com/a?a=1&b=2",
+        "https://e.com:443": "https://e.com/",
+        "http://u:p@e.com.:8080/x//y/?GCLID=1&q": "http://e.com:8080/x//y/?q=",
+        " https://e.com/a|b?q=a+b~*&q=%7E ": "https://e.com/a|b?q=a+b~%2A&q=~",
+        "http://e.com:99999/": None,
+        "http://e.com:x1/": None,
+    }
+    assert one(spark, list(cases), urls.canonical) == list(cases.values())
+    assert one(spark, [None], urls.canonical) == [None]
+    assert one(spark, ["http://e.com/Tag/x", "http://e.com//author", "http://e.com/tagged", "http://e.com"], urls.lists_others) == [True, True, False, False]
+    assert one(spark, ["https://www.a.com/x", "https://b.a.com", "https://nota.com"], lambda u: urls.same_site(u, F.lit("a.com"))) == [True, True, False]
+
+
+def test_fetching(spark):
+    rows = [(200, None, "nginx", "x", "ok"), (404, None, "", "", "http_error"), (429, None, "", "", "rate_limited"), (403, None, "Cloudflare", "<title>Just a moment...</title>", "cf_challenge"), (403, None, "cloudflare", "plain", "http_error"), (200, "Challenge", "", "", "cf_challenge")]
+    got = spark.createDataFrame(rows, "s int, m string, v string, b string, want string").select("want", fetching.outcome(*map(F.col, "smvb")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+    assert one(spark, [-1, 0, 7, 8], fetching.recheck_after_hours, "int") == [None, 1, 8760, None]
+    assert one(spark, [0.0, 1.0, 1.1, 8760.0, 9000.0], fetching.age_band, "double") == [1, 1, 2, 8, 9]
+    assert one(spark, [None, 17, 900], lambda a: fetching.retry_delay(F.lit(2), a), "int") == [4.0, 17.0, 300.0]
+    dates = ["Mon, 01 Jan 2024 10:00:00 +0600", "1 Jan 2024 10:00:00 GMT", "2024-01-01T10:00:00Z", "2024-01-01", "soon", None]
+    want = [datetime(2024, 1, 1, 4), datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 10), T0, None, None]
+    assert one(spark, dates, lambda d: fetching.parsed_date(d).cast("string")) == [w and str(w) for w in want]
+    assert one(spark, ["text/html; charset=x", "image/png"], lambda c: fetching.is_html(c, F.lit(None))) == [True, False]
+
+
+def test_differences():
+    assert differences.first_change("a", "a") is None
+    assert differences.first_change(None, "new") == "- \n+ new"
+    long = differences.first_change("x" * 5000, "y" * 5000)
+    assert long.count("x") == long.count("y") == differences.SIDE and len(long) < 1200
+    assert differences.first_change("a" * 100 + "b" + "c" * 100, "a" * 100 + "d" + "c" * 100).startswith("- …" + "a" * 60 + "b" + "c" * 60 + "…")
+    assert differences.word_changes("a b c", "a x c") == [("a ", "same"), ("b", "del"), ("x", "ins"), (" c", "same")]
+    assert differences.word_changes(None, "a") == [("a", "ins")] and differences.word_changes("", "") == []
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = (" ".join(rng.choices("pqr", k=rng.randint(0, 8))) for _ in "ab")
+        runs = differences.word_changes(a, b)
+        assert "".join(t for t, k in runs if k != "ins") == a and "".join(t for t, k in runs if k != "del") == b
+
+
+SNAP = "article_id long, id long, fetched_at timestamp, headline_hash string, byline string, byline_hash string, body_hash string, published_at string, date_source string, final_url string"
+
+
+def snap(i, **changed):
+    base = {"article_id": 1, "id": i, "fetched_at": T0 + timedelta(hours=i), "headline_hash": "h", "byline": "Reporter A", "byline_hash": "a", "body_hash": "b", "published_at": "d", "date_source": "meta", "final_url": "u"}
+    return tuple((base | changed).values())
+
+
+@pytest.mark.parametrize(
+    "changed, want",
+    [
+        ({"headline_hash": "h2", "body_hash": "b2"}, {("HEADLINE_CHANGED", "confirmed"), ("BODY_CHANGED", "confirmed")}),
+        ({"byline": None, "byline_hash": "e"}, {("BYLINE_REMOVED", "confirmed")}),
+        ({"byline": "Reporter B", "byline_hash": "bb"}, {("BYLINE_CHANGED", "confirmed")}),
+        ({}, set()),
+        ({"published_at": "d2"}, {("DATE_CHANGED", "confirmed")}),
+        ({"published_at": "d2", "date_source": events.FALLBACK_DATE}, {("DATE_CHANGED", "unverified")}),
+        ({"final_url": "u2"}, {("REDIRECTED", "confirmed")}),
+    ],
+)
+def test_snapshot_changes(spark, changed, want):
+    got = events.snapshot_changes(spark.createDataFrame([snap(1), snap(2, **changed)], SNAP)).collect()
+    assert {(r["type"], r["confidence"]) for r in got} == want and all((r["from_snapshot_id"], r["to_snapshot_id"]) == (1, 2) for r in got)
+
+
+@pytest.mark.parametrize(
+    "log, want",
+    [
+        ([(-8, "404"), (-4, "404"), (0, "404")], [("GONE_404", "confirmed")]),
+        ([(-0.2, "404"), (-0.1, "404"), (0, "404")], []),
+        ([(-8, "timeout"), (-4, "timeout"), (0, "timeout")], []),
+        ([(-8, "robots"), (-4, "robots"), (0, "robots")], [("ROBOTS_BLOCKED", "probable")]),
+        ([(-20, "404"), (-16, "404"), (-12, "ok"), (-8, "404"), (0, "404")], []),
+        ([(-8, "404"), (-4, "410"), (0, "404")], []),
+        ([(-12, "410"), (-8, "410"), (-4, "410"), (0, "410")], [("GONE_410", "confirmed")] * 2),
+    ],
+)
+def test_gone(spark, log, want):
+    kinds = {"404": ("http_error", 404), "410": ("http_error", 410), "timeout": ("timeout", None), "robots": ("robots_blocked", None), "ok": ("ok", 200)}
+    rows = [(1, i, T0 + timedelta(hours=h), *kinds[k]) for i, (h, k) in enumerate(log)]
+    df = spark.createDataFrame(rows, "article_id long, id long, started_at timestamp, outcome string, http_status int")
+    assert [(r["type"], r["confidence"]) for r in events.gone_events(df).collect()] == want
+    assert events.gone_events(df, first_of_streak=True).count() == min(1, len(want))
+
+
+def test_severity_and_age(spark):
+    got = spark.createDataFrame([("BYLINE_REMOVED", 30.0), ("DATE_CHANGED", 30.0), ("GEO", 0.0)], "t string, a double").select(events.severity(F.col("t"), F.col("a"))).collect()
+    assert [r[0] for r in got] == [36, 8, 3]
+    e = spark.createDataFrame([(1, T0 + timedelta(hours=30), "RESTORED"), (1, T0 - timedelta(hours=3), "RESTORED")], "article_id long, detected_at timestamp, type string")
+    a = spark.createDataFrame([(1, T0)], "article_id long, first_seen timestamp")
+    assert sorted(r["age_hours"] for r in events.scored(e, a).collect()) == [0.0, 30.0]
+
+
+def test_presence(spark):
+    runs = {1: ("ps pr cs cr", None), 2: ("ps", "DEINDEXED"), 3: ("pr", "DEINDEXED"), 4: ("ps cr", "UNPUBLISHED"), 5: ("ps pr cs", None), 6: ("cs", None)}
+    rows = [("o", "rss" if f[1] == "r" else "sitemap", 2 if f[0] == "p" else 1, f"h{a}") for a, (flags, _) in runs.items() for f in flags.split()]
+    e = spark.createDataFrame(rows, "outlet_id string, kind string, age int, url_hash string")
+    aliases = spark.createDataFrame([(a, "o", f"h{a}") for a in runs] + [(2, "o", "other")], "article_id long, outlet_id string, url_hash string")
+    assert {r["article_id"]: r["type"] for r in events.presence_changes(e, aliases).collect()} == {a: k for a, (_, k) in runs.items() if k}
+    assert events.presence_changes(e.where("age = 1"), aliases).count() == 0
+
+
+def test_restored_and_self_corrected(spark):
+    s = spark.createDataFrame([(1, T0, 1), (1, T0 + timedelta(hours=9), 2), (1, T0 + timedelta(hours=10), 3)], "article_id long, fetched_at timestamp, id long")
+    g = spark.createDataFrame([(1, T0 + timedelta(hours=8))], "article_id long, detected_at timestamp")
+    assert sorted((r["to_snapshot_id"], r["first_restored"]) for r in events.restored_events(s, g).collect()) == [(2, True), (3, False)]
+    e = spark.createDataFrame([(1, 1, "DEINDEXED", T0), (1, 2, "RESTORED", T0 + timedelta(hours=1)), (1, 3, "RESTORED", T0 + timedelta(hours=2))], "article_id long, id long, type string, detected_at timestamp")
+    assert {r["id"]: r["self_corrected"] for r in events.self_corrected(e).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_extraction_health(spark):
+    rows = [("o", i, T0, 3000, False) for i in range(20)] + [("o", 20, T0, 50, False), ("o", 21, T0, 0, False), ("o", 22, T0, 3100, True)]
+    r = coverage.extraction_health(spark.createDataFrame(rows, "outlet_id string, id long, fetched_at timestamp, body_length long, failed boolean")).first()
+    assert (r["sample"], r["median_length"], r["short"], r["long"], r["empty"], r["errors"], r["health"]) == (23, 3000, 2, 0, 1, 1, "degraded")
+
+
+def test_suppression_leaves_no_residual():
+    rng = random.Random(7)
+    for _ in range(60):
+        outlets = {f"o{i}": (rng.choice("be"), rng.choice("vwxyz")) for i in range(18)}
+        contributing = {o for o in outlets if rng.random() < 0.6}
+        groups = {("all", "all"): set(outlets)}
+        for o, (language, tier) in outlets.items():
+            groups.setdefault(("language", language), set()).add(o)
+            groups.setdefault(("tier", tier), set()).add(o)
+        held = coverage.plan_suppression(groups, contributing)
+        assert not coverage.leaking(groups, contributing, set(held))
+        assert all(held[g] == "small_group" for g, m in groups.items() if len(m & contributing) < 3)
+
+
+def test_violations(spark):
+    row = ("language", "x", 3, 3, 5, 9, None, 1, False, None)
+    f = spark.createDataFrame([row], "grp string, key string, outlets long, contributing long, discovered long, captured long, snapshots long, archived long, suppressed boolean, reason string")
+    assert {r["rule"] for r in coverage.violations(f, ["snapshots"]).collect()} == {"figures null exactly when suppressed", "captured within discovered"}
+
+
+def test_queue(spark):
+    j = spark.createDataFrame([(1, "f", 10, "pending", T0, None), (2, "f", 11, "running", T0, T0 - timedelta(hours=2)), (3, "f", 12, "running", T0, T0), (4, "f", 13, "pending", T0 + timedelta(days=1), None), (5, "f", 14, "done", T0, None)], "id long, kind string, ref_id long, status string, run_after timestamp, locked_at timestamp")
+    assert [r["id"] for r in queue.due(j, F.lit("2024-01-01 00:00:00").cast("timestamp"), 9).collect()] == [1, 2]
+    c = spark.createDataFrame([("f", 10), ("f", 14), ("f", 14), ("g", 10)], "kind string, ref_id long")
+    assert sorted((r["kind"], r["ref_id"]) for r in queue.enqueue(c, j).collect()) == [("f", 14), ("g", 10)]
+    a = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None)], "id long, merged_into_id long")
+    assert {r["id"]: r["root"] for r in queue.roots(a).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    new = spark.createDataFrame([("a", "A", 0.1)], "slug string, name string, rate double")
+    old = spark.createDataFrame([("a", "old", 3.0), ("b", "B", 5.0)], "slug string, name string, rate double")
+    assert sorted(map(tuple, queue.sync(new, old).collect())) == [("a", "A", 2.0, True), ("b", "B", 5.0, False)]
+
+
+RSS = b'<?xml version="1.0"?><rss><channel><item><link>http://e.com/1</link><title>One</title><pubDate>x</pubDate></item><item><guid>http://e.com/2</guid></item><item><guid isPermaLink="false">no</guid></item></channel></rss>'
+ATOM = b'<feed xmlns="http://www.w3.org/2005/Atom"><entry><link rel="self" href="s"/><link href="http://e.com/a"/><title>A</title><updated>u</updated></entry></feed>'
+NEWS = b'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:n="http://www.google.com/schemas/sitemap-news/0.9"><url><loc>http://e.com/n</loc><n:news><n:title>N</n:title><n:publication_date>d</n:publication_date></n:news></url></urlset>'
+INDEX = b'<sitemapindex><sitemap><loc>http://e.com/s.xml</loc><lastmod>m</lastmod></sitemap></sitemapindex>'
+
+
+def test_listings(spark):
+    assert listings.parse(RSS) == ("rss", [("http://e.com/1", "One", "x"), ("http://e.com/2", None, None)])
+    assert listings.parse(gzip.compress(ATOM)) == ("atom", [("http://e.com/a", "A", "u")])
+    assert listings.parse(b"\xef\xbb\xbf" + NEWS) == ("news_sitemap", [("http://e.com/n", "N", "d")])
+    assert listings.parse(INDEX) == ("sitemap_index", [("http://e.com/s.xml", None, "m")])
+    assert [listings.parse(x) for x in (None, b"", b"junk", b"<html></html>", b"<rss", b'<!DOCTYPE r [<!ENTITY x SYSTEM "file:///etc/passwd">]><rss/>', b"\x1f\x8bjunk")] == [None] * 7
+    df = spark.createDataFrame([(1, bytearray(RSS)), (2, bytearray(b"junk"))], "id long, content binary")
+    assert [(r["id"], r["kind"], r["position"], r["url"]) for r in listings.entries(df).orderBy("position").collect()] == [(1, "rss", 0, "http://e.com/1"), (1, "rss", 1, "http://e.com/2")]
+
+
+def test_pages():
+    page = '<html lang="bn"><head><title>T</title><meta property="og:title" content="O"><meta name="author" content="M"><link rel="alternate" type="application/rss+xml" href="/f"><script type="application/ld+json">{bad</script><script type="application/ld+json">{"@graph":[{"@type":["NewsArticle"],"author":[{"name":"A"},"B"],"datePublished":"2024"}]}</script></head><body><h1> H  1</h1></body></html>'
+    f = pages.fields(page)
+    assert (f["headline"], f["headline_source"], f["byline"], f["byline_source"], f["published_at"], f["lang"], f["feeds"]) == ("H 1", "h1", "A, B", "jsonld", "2024", "bn", ["/f"])
+    assert pages.fields(None)["headline"] is None
+
+
+def test_documents(spark, tmp_path):
+    o = documents.outlets(spark, "outlets:\n  a:\n    name: A\n    language: en\n    base_url: http://a.com\n    tier: t\n    rss_urls: [http://a.com/f]\n")
+    assert o.first()["rss_urls"] == ["http://a.com/f"]
+    with pytest.raises(ValueError):
+        documents.outlets(spark, "outlets:\n  a:\n    name: A\n")
+    rules = "User-agent: *\nDisallow: /private"
+    rows = [(200, rules, "bot", "http://a.com/private/x"), (200, rules, "bot", "http://a.com/x"), (404, "", "bot", "http://a.com/x"), (503, "", "bot", "http://a.com/x"), (None, None, "bot", "http://a.com/x")]
+    assert [r["allowed"] for r in documents.allowed(spark.createDataFrame(rows, "status int, body string, agent string, url string")).collect()] == [False, True, True, False, False]
+    b = spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"x"),)], "content binary")
+    assert documents.blobs(b).count() == 1
+    documents.write_document(str(tmp_path / "d.json"), {"b": 1, "a": None})
+    assert (tmp_path / "d.json").read_text().startswith('{\n  "a": null')
+    (tmp_path / "l.json").write_text('{"a": 1}\n')
+    schema = spark.createDataFrame([(1,)], "a long").schema
+    assert documents.read_documents(spark, str(tmp_path / "l.json"), schema).first()["a"] == 1
+    (tmp_path / "l.json").write_text('{"a": 1, "z": 2}\n')
+    with pytest.raises(ValueError):
+        documents.read_documents(spark, str(tmp_path / "l.json"), schema)
+
+
+def test_triage(spark):
+    e = spark.createDataFrame([(i, "http://e.com/tag/x" if i == 9 else f"http://e.com/{i}", i, T0) for i in range(10)], "id long, url string, severity long, detected_at timestamp")
+    assert [r["id"] for r in triage.top(e, 2).collect()] == [8, 7]
+    s = spark.createDataFrame([(1, i, T0 + timedelta(hours=i), f"h{i}", "b" if i else "a") for i in range(25)], "article_id long, id long, fetched_at timestamp, headline string, body_hash string")
+    r = triage.oldest_versions(s).first()
+    assert r["n_versions"] == 25 and [v["id"] for v in r["versions"]] == list(range(20))
+    assert sorted(x["id"] for x in triage.kept_pages(s).collect()) == [0, 1]
+
+
+def test_streams_agree_with_batch(spark, tmp_path):
+    rows = [(1, i, T0 + timedelta(hours=i), f"h{i // 2}", f"b{i // 3}") for i in range(12)]
+    schema = "article_id long, id long, fetched_at timestamp, headline_hash string, body_hash string"
+    for k in range(3):
+        spark.createDataFrame(rows[4 * k : 4 * k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    batch = spark.read.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "s"))
+    q = volume.changes(stream).writeStream.format("memory").queryName("changes").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    full = batch.selectExpr("*", "null as byline", "'' as byline_hash", "'' as published_at", "'' as date_source", "'' as final_url")
+    want = {(r["to_snapshot_id"], r["type"]) for r in events.snapshot_changes(full).collect()}
+    assert {(r["id"], r["type"]) for r in spark.sql("SELECT * FROM changes").collect()} == want
+    log = spark.createDataFrame([(T0 + timedelta(hours=5 * i), "ok") for i in range(20)], "started_at timestamp, outcome string")
+    log.write.parquet(str(tmp_path / "a"))
+    q = volume.daily_volume(spark.readStream.schema(log.schema).parquet(str(tmp_path / "a"))).writeStream.format("memory").queryName("volume").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {(r["day"], r["n"]) for r in coverage.daily(log, "started_at").collect() if r["n"]}
+    assert {(r["day"], r["n"]) for r in spark.sql("SELECT * FROM volume").collect()} == want
