@@ -35,8 +35,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Array of the words `[^\\x20\\x09-\\x0D]+`; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
+    """Array of the words `[^\\x20\\x09-\\x0D]+`; one empty text for a text without words or null."""
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r")), SPACE_CLASS)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once for a row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import cut, words
+from pagedrift.llm.common import bound, cut, words
 from pagedrift.llm.line_dedup import LAST_ID
 
 SHINGLE = 5
@@ -17,9 +17,12 @@ BROADCAST_ROWS = 1_000_000
 
 def _runs(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with, as out, the hashes of the runs of SHINGLE words of column text in order; of all words if there are fewer."""
-    return df.withColumn("_w", words(F.lower(F.col(text).cast("string")))).withColumn(
-        out, F.when(F.size("_w") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
-    ).drop("_w")
+
+    def hashed(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
+        return F.when(F.get(w, F.lit(0)) != "", F.transform(at, lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
+
+    return df.withColumn(out, bound(words(F.lower(F.col(text).cast("string"))), hashed))
 
 
 def sketch_size(span: int) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagedrift.llm.common import cut, words
+from pagedrift.llm.common import SPACE_CLASS, bound, cut, words
 
 #: Lines of fewer words are never dropped: one edit of five words leaves a similarity of 0.8.
 LEAST_WORDS = 5
@@ -28,15 +28,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.posexplode(text).alias("pos", "line"))
 
 
-def _halves(w: Column) -> Column:
+def _plain(line: Column) -> Column:
+    """A line with its words parted by single blanks; lines that are so already pass unchanged."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for x in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(x))
+    return F.when(odd, F.btrim(F.regexp_replace(line, SPACE_CLASS, " "))).otherwise(line)
+
+
+def _count(plain: Column) -> Column:
+    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
+
+
+def _halves(plain: Column, n: Column) -> Column:
     """Keys of a line's halves. Two lines within one edit share the first half of the shorter one, or its second half."""
-    n = F.size(w)
 
-    def of(m: Column, tag: str) -> list[Column]:
+    def of(m: Column) -> list[Column]:
         h = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(f"{tag}<"), m, F.slice(w, F.lit(1), h)), F.xxhash64(F.lit(f"{tag}>"), m, F.slice(w, n - (m - h) + 1, m - h))]
+        part = lambda k: F.call_function("substring_index", plain, F.lit(" "), k)
+        return [F.xxhash64(F.lit("<"), m, part(h)), F.xxhash64(F.lit(">"), m, part(h - m))]
 
-    return F.array(*of(n, "n"), *of(n - 1, "n"))
+    return F.array(*of(n), *of(n - 1))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -57,42 +69,40 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Lines have an order by doc_id, then position. A line of at least least_words words goes if an earlier line equals it
     or is within one edited word of it. Exact copies meet by their hash. For near copies each distinct line emits its
     deletion neighbourhood, the line without its i-th word for each i, as keys (words, i, hash): lines of equal length
-    within one substitution share such a key, and a line with one word more shares a key with the whole of the other. The
-    earliest line of each key is the witness against the others; an exact check of the words confirms each. Keys have
-    one witness each, so no pairs of a group are listed.
+    within one substitution share such a key, and its earliest line is the witness against the others; a line with one
+    word more shares a hash with the whole of the other, and the earlier of both is a witness. An exact check of the words
+    confirms each. A key has one witness and a whole is one line, so no pairs of a group are listed.
 
     First, lines without a partner are set aside without loss: two lines within one edit share a half, so a line whose
     halves no other line has emits nothing.
     """
     lines = _lines(docs)
-    w = words(F.col("line"))
-    told = lines.withColumn("w", w).where(F.size("w") >= least_words).select("doc", "pos", *_hashed(F.col("line")), F.size("w").alias("n"), _halves(F.col("w")).alias("halves"))
+    plain = lines.select("doc", "pos", "line", _plain(F.col("line")).alias("plain")).withColumn("n", _count(F.col("plain"))).where(F.col("n") >= least_words)
+    told = cut(plain.select("doc", "pos", *_hashed(F.col("line")), _halves(F.col("plain"), F.col("n")).alias("halves")))
     here = told.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("at"), F.min("pos").alias("pos"))
     first = here.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"))
 
     halves = told.select("h1", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
     near = cut(halves.join(_spread(cut(met)), "half", "left_semi").select("h1").distinct())
-    found = lines.withColumn("w", w).where(F.size("w") >= least_words).select("doc", "pos", "line", *_hashed(F.col("line")))
+    found = lines.select("doc", "pos", "line", *_hashed(F.col("line")))
     texts = cut(found.join(_spread(near), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("line").alias("line")))
 
     each = texts.select("h1", "h2", "first", F.posexplode(words(F.col("line"))).alias("i", "word")).select("h1", "h2", "first", "i", F.xxhash64("word", "i").alias("a"), F.xxhash64("word", F.col("i") - 1).alias("b"))
-    run = Window.partitionBy("h1", "h2").orderBy("i")
+    to_here = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("h1", "h2")
     # What stands before the i-th word keeps its place; what stands after it moves up by one.
-    sums = each.select("h1", "h2", "first", "i", F.coalesce(F.bit_xor("a").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.coalesce(F.bit_xor("b").over(run.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("after"), F.bit_xor("a").over(whole).alias("all"), F.count("*").over(whole).cast("int").alias("n"))
+    sums = each.select("h1", "h2", "first", "i", "a", F.bit_xor("a").over(to_here).alias("a_here"), F.bit_xor("b").over(to_here).alias("b_here"), F.bit_xor("a").over(whole).alias("a_all"), F.bit_xor("b").over(whole).alias("b_all"), F.count("*").over(whole).cast("int").alias("n"))
+    without = F.col("a_here").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b_all")).bitwiseXOR(F.col("b_here"))
     order = F.struct("first", "h1", "h2")
-    without = sums.select(order.alias("line"), (F.col("n") - 1).alias("n"), "i", F.col("before").bitwiseXOR(F.col("after")).alias("hash"))
-    as_is = sums.where("i = 0").select(order.alias("line"), "n", F.lit(-1).alias("i"), F.col("all").alias("hash"))
-    substituted = without.select("line", F.struct("n", "i", "hash").alias("key"))
-    # One key for what a longer line is without a word and what a shorter line is.
-    inserted = without.select("line", F.struct("n", F.lit(-1).alias("i"), "hash").alias("key")).union(as_is.select("line", F.struct("n", "i", "hash").alias("key")))
-    keys = substituted.union(inserted)
-    shared = keys.groupBy("key").agg(F.min("line").alias("witness"), F.max("line").alias("last")).where("witness <> last").select("key", "witness")
-    against = keys.join(shared, "key").where("witness < line").select("line", "witness").distinct()
-    # A key of a longer line's deletion can have another longer line as its earliest; the shorter line is then a witness too.
-    short = as_is.select(F.struct("n", "i", "hash").alias("key"), F.col("line").alias("witness"))
-    against = against.union(inserted.join(short, "key").where("witness < line").select("line", "witness")).distinct()
+    # One row for each word left out, and one for the whole line, at -1.
+    either = F.array(F.struct("i", (F.col("n") - 1).alias("n"), without.alias("hash")), F.when(F.col("i") == 0, F.struct(F.lit(-1).alias("i"), F.col("n"), F.col("a_all").alias("hash"))))
+    variants = cut(sums.select(order.alias("line"), F.explode(F.array_compact(either)).alias("v")).select("line", "v.*"))
+    deleted, as_is = variants.where("i >= 0"), variants.where("i = -1")
+    shared = deleted.groupBy("n", "i", "hash").agg(F.min("line").alias("witness"), F.max("line").alias("last")).where("witness <> last").drop("last")
+    substituted = deleted.join(shared, ["n", "i", "hash"]).select("line", "witness")
+    inserted = deleted.select(F.col("line").alias("longer"), "n", "hash").join(as_is.select(F.col("line").alias("shorter"), "n", "hash"), ["n", "hash"])
+    against = substituted.union(inserted.select(F.greatest("longer", "shorter"), F.least("longer", "shorter"))).where("witness < line").distinct()
     spelled = texts.select(order.alias("line"), words(F.col("line")).alias("words"))
     checked = against.join(spelled, "line").join(spelled.select(F.col("line").alias("witness"), F.col("words").alias("of")), "witness").where(_within_one(F.col("words"), F.col("of")))
     gone = cut(checked.select(F.col("line.h1").alias("h1"), F.col("line.h2").alias("h2")).distinct().withColumn("near", F.lit(True)))
@@ -111,12 +121,13 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     gone = dropped_lines(docs, least_words).select(F.col("doc").alias("_doc"), F.col("drop").alias("_drop"))
     joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_doc"), "left")
-    all_lines = F.split(F.col("text"), "\n")
-    n = F.coalesce(F.size(all_lines), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
-    out = joined.withColumn("_lines", all_lines)
-    rest = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    columns = [rest.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    dropped = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(F.array_intersect(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")), F.lit(0)))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(n)
-    return out.select(*columns, lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+        picked = bound(kept, lambda at: F.struct(F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).alias("n"), (F.size(lines) - F.size(at)).alias("dropped")))
+        whole = F.struct(F.col("text"), F.size(lines).alias("n"), F.lit(0).alias("dropped"))
+        return F.when(F.col("_drop").isNull(), whole).otherwise(picked)
+
+    out = joined.withColumn("_rest", F.when(F.col("text").isNotNull(), bound(F.split(F.col("text"), "\n"), rest)))
+    columns = [F.col("_rest.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*columns, *[F.coalesce(F.col(f"_rest.{c}"), F.lit(0)).cast("long").alias(name) for c, name in (("n", "n_lines"), ("dropped", "n_dropped"))])
