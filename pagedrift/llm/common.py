@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ascii_lower(text: Column) -> Column:
-    """A to Z in lower case; all other characters stay."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def saved(df: DataFrame) -> DataFrame:
+    """As cut(), but as a Parquet table in that folder: for many narrow rows, which a checkpoint writes uncompressed."""
+    spark = df.sparkSession
+    with_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def words(text: Column) -> Column:

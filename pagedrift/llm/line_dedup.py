@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagedrift.llm.common import SPACE_CLASS, bound, cut, words
+from pagedrift.llm.common import SPACE_CLASS, bound, cut, saved, words
 
 #: Lines of fewer words are never dropped: one edit of five words leaves a similarity of 0.8.
 LEAST_WORDS = 5
@@ -78,7 +78,7 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     lines = _lines(docs)
     plain = lines.select("doc", "pos", "line", _plain(F.col("line")).alias("plain")).withColumn("n", _count(F.col("plain"))).where(F.col("n") >= least_words)
-    told = cut(plain.select("doc", "pos", *_hashed(F.col("line")), _halves(F.col("plain"), F.col("n")).alias("halves")))
+    told = saved(plain.select("doc", "pos", *_hashed(F.col("line")), _halves(F.col("plain"), F.col("n")).alias("halves")))
     here = told.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("at"), F.min("pos").alias("pos"))
     first = here.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"))
 
@@ -97,11 +97,15 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     order = F.struct("first", "h1", "h2")
     # One row for each word left out, and one for the whole line, at -1.
     either = F.array(F.struct("i", (F.col("n") - 1).alias("n"), without.alias("hash")), F.when(F.col("i") == 0, F.struct(F.lit(-1).alias("i"), F.col("n"), F.col("a_all").alias("hash"))))
-    variants = cut(sums.select(order.alias("line"), F.explode(F.array_compact(either)).alias("v")).select("line", "v.*"))
+    variants = saved(sums.select(order.alias("line"), F.explode(F.array_compact(either)).alias("v")).select("line", "v.*").withColumn("key", F.xxhash64("n", "i", "hash")))
     deleted, as_is = variants.where("i >= 0"), variants.where("i = -1")
-    shared = deleted.groupBy("n", "i", "hash").agg(F.min("line").alias("witness"), F.max("line").alias("last")).where("witness <> last").drop("last")
-    substituted = deleted.join(shared, ["n", "i", "hash"]).select("line", "witness")
-    inserted = deleted.select(F.col("line").alias("longer"), "n", "hash").join(as_is.select(F.col("line").alias("shorter"), "n", "hash"), ["n", "hash"])
+    # Narrow rows first: most keys are of one line, and most hashes of no whole line.
+    lines_of = deleted.select("key", F.col("line.h1").alias("h1")).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+    together = deleted.join(_spread(cut(lines_of.where("a <> b").select("key"))), "key", "left_semi")
+    shared = together.groupBy("n", "i", "hash").agg(F.min("line").alias("witness"), F.max("line").alias("last")).where("witness <> last").drop("last")
+    substituted = together.join(shared, ["n", "i", "hash"]).select("line", "witness")
+    reached = deleted.join(_spread(cut(as_is.select("hash").distinct())), "hash", "left_semi")
+    inserted = reached.select(F.col("line").alias("longer"), "n", "hash").join(as_is.select(F.col("line").alias("shorter"), "n", "hash"), ["n", "hash"])
     against = substituted.union(inserted.select(F.greatest("longer", "shorter"), F.least("longer", "shorter"))).where("witness < line").distinct()
     spelled = texts.select(order.alias("line"), words(F.col("line")).alias("words"))
     checked = against.join(spelled, "line").join(spelled.select(F.col("line").alias("witness"), F.col("words").alias("of")), "witness").where(_within_one(F.col("words"), F.col("of")))
