@@ -28,8 +28,8 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition. Rows of ASCII alone keep their value."""
-    return F.when(text.rlike("[^\x00-\x7f]"), _nfc(text)).otherwise(text)
+    """Canonical composition. What it is made of is computed once, below the crossing to Python."""
+    return _nfc(text)
 
 
 def normalise(text: Column) -> Column:
