@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagedrift.llm import bpe, chat_format, decontam, fingerprint, html_extract, line_dedup, near_dup, quality, sharding, toxicity
+from pagedrift.llm import bpe, chat_format, decontam, fingerprint, html_extract, line_dedup, near_dup, oracle, quality, sharding, toxicity
 from pagedrift.llm.common import table
 
 SHARDS = 16
@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": oracle.OP1, "op4_rendezvous": oracle.op4(SHARDS), "op5_decontaminate": oracle.OP5, "op6_near_dup": oracle.OP6, "op7_preference": oracle.OP7}
