@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("y", "text", "fold")
     from pagedrift.llm.common import cut
 
-    measured = cut(joined.mapInArrow(_measured, "y int, fold int, x array<double>").coalesce(8))
+    measured = cut(joined.mapInArrow(_measured, "y int, fold int, x array<double>"))
     rows = measured.collect()
     if not rows:
         return None
@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     model = Model(x.mean(0), np.maximum(x.std(0), 1e-3), rng.normal(0, 1 / math.sqrt(d), (d, FEATURES)), rng.uniform(0, 2 * math.pi, FEATURES), np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
-    parts = measured.mapInArrow(_normal_equations(model, calibrating), "n long, sums binary").collect()
+    # Only the sample is dealt to few tasks, for each returns a matrix; the scan of all documents keeps its own.
+    parts = measured.coalesce(8).mapInArrow(_normal_equations(model, calibrating), "n long, sums binary").collect()
     total = sum(np.frombuffer(p["sums"]).reshape(FEATURES + 1, FEATURES + 2) for p in parts)
     n = sum(p["n"] for p in parts)
     model.weights = np.linalg.solve(total[:, :-1] + RIDGE * n * np.eye(FEATURES + 1), total[:, -1])
