@@ -164,8 +164,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     heads: dict[int, list[int]] = {}
     for i, part in enumerate(order):
         heads.setdefault(most[order[(i + 1) % len(order)]], []).append(part)
-    parts = max(1, len(order))
     dealt = rows.mapInArrow(_by_range(bounds, heads), "part int, halo boolean, key long, text string")
-    shuffled = dealt.repartition(parts, "part").sortWithinPartitions("part", "halo", F.desc("key"), "text")
+    # A range's number names its task, so that no two ranges meet in one.
+    shuffled = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "halo", F.desc("key"), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return shuffled.mapInArrow(_compared, schema)
