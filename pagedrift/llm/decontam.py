@@ -28,8 +28,8 @@ def _runs(df: DataFrame, text: str, out: str) -> DataFrame:
 def sketch_size(span: int) -> int:
     """Least hashes kept of a window of 2 * span shingles.
 
-    An item of more than span / 2 shingles, 0.8 of them present, goes unseen only if none of those is among its window's
-    least: with this size a chance under 0.0001 for any span, and none up to span 8.
+    An item of more than span / 2 distinct shingles, 0.8 of them present, goes unseen only if none of those is among its
+    window's least distinct ones: with this size a chance under 0.0001 for any span, and none up to span 8.
     """
     return 16 + span // 2
 
@@ -37,11 +37,12 @@ def sketch_size(span: int) -> int:
 def _window_sketches(runs: Column, span: int) -> Column:
     """The MinHash sketches, bottom-k, of windows of 2 * span shingles that start every span shingles, in one array.
 
-    Any stretch of up to span + 1 shingles lies within one window.
+    Any stretch of up to span + 1 shingles lies within one window. A shingle that repeats in a window takes one of the k
+    places, not all.
     """
     starts = F.sequence(F.lit(1), F.greatest(F.size(runs), F.lit(1)), F.lit(span))
     k = min(sketch_size(span), 2 * span)
-    return F.flatten(F.transform(starts, lambda i: F.slice(F.sort_array(F.slice(runs, i, 2 * span)), 1, k)))
+    return F.flatten(F.transform(starts, lambda i: F.slice(F.sort_array(F.array_distinct(F.slice(runs, i, 2 * span))), 1, k)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -50,7 +51,7 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -
 
     A document holds an item if it has at least `containment` of the item's distinct 5-word shingles (words in lower case;
     of an item of fewer words, the whole sequence, which only a document of just these words has). Items are partitioned
-    by size into spans, powers of two. For each span in use, a long document is cut into overlapping windows of twice the
+    by distinct shingles into spans, powers of two. For each span in use, a long document is cut into overlapping windows of twice the
     span, so that item and window are of like size, and each window keeps the least hashes of its shingles. Items meet
     windows that share a hash of both sketches; exact containment in the whole document confirms each pair.
 
@@ -58,7 +59,7 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -
     the result; of rows with equal ids the best containment counts, as for items. Empty tables give an empty result.
     """
     spelled = _runs(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "text", "runs").drop("text")
-    spelled = cut(spelled.withColumn("set", F.array_distinct("runs")).where(F.size("set") > 0).select("item_id", "set", F.size("set").alias("n"), F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2(F.size("runs")))).cast("int")).alias("span")))
+    spelled = cut(spelled.withColumn("set", F.array_distinct("runs")).where(F.size("set") > 0).select("item_id", "set", F.size("set").alias("n"), F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2(F.size("set")))).cast("int")).alias("span")))
     spans = sorted(r["span"] for r in spelled.select("span").distinct().collect())  # a row for each power of two
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col("text"))
     if not spans:

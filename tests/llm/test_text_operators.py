@@ -132,6 +132,19 @@ def test_decontamination_of_short_items_in_long_documents(spark):
     assert got == reference.leaks(docs, items) and (200, 100) in got and len(got) == 61
 
 
+def test_decontamination_amid_repeated_shingles(spark):
+    items, docs = [], []
+    for i in range(120):
+        words = [f"i{i}_{k}" for k in range((21, 28, 37, 64)[i % 4])]
+        # Every other item repeats a short phrase, so that it has far fewer distinct shingles than runs.
+        item = words if i % 8 < 4 else [*words[:6], *words[:6] * (i % 5 + 4)]
+        filler = [f"again{i}"] * 200
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(filler + item + filler)))
+    got = {(r["doc_id"], r["item_id"]): (r["n_shingles"], r["n_found"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == reference.leaks(docs, items) and len(got) == 120
+
+
 def test_decontamination_of_empty_tables(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontam.leaks(odd(spark).limit(0), items).count() == 0
