@@ -15,15 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S).finditer
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S).match
 _attribute = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""").findall
 _name = re.compile(r"[a-z]+").findall
+_end_of = functools.cache(lambda tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search)
 
 #: Fixed values of HTML: elements without an end, elements whose content is no text, inline elements, implied ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg iframe object textarea select title canvas math".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Of the silent elements, those that HTML reads as bare text up to their end tag, or to the page's end without one.
+BARE = frozenset("script style iframe textarea title".split())
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
 
@@ -53,13 +56,12 @@ def blocks(page: str) -> list[Block]:
             run.clear()
         linked = 0
 
-    silent = ""
-    for m in _token(page):
+    unended: set[str] = set()
+    at_char = 0
+    while at_char < len(page):
+        m = _token(page, at_char)
+        at_char = m.end()
         tag = m[2]
-        if silent:
-            if tag and m[1] and tag.lower() == silent:
-                silent = ""
-            continue
         if tag is None:
             s = m[0]
             if s[:2] not in ("<!", "<?"):
@@ -87,8 +89,15 @@ def blocks(page: str) -> list[Block]:
                 if at >= 0 and all(t in INLINE or t in ends for t, _ in stack[at:]):
                     del stack[at:]
         if tag in SILENT:
+            # its content is searched for the end tag, never read as tags: scripts hold bare <
             if not m[3].rstrip().endswith("/"):
-                silent = tag
+                end = None if tag in unended else _end_of(tag)(page, at_char)
+                if end:
+                    at_char = end.start()
+                elif tag in BARE:
+                    break
+                else:
+                    unended.add(tag)
             continue
         if tag in VOID:
             continue

@@ -117,6 +117,19 @@ def test_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("silent", [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if (a<b) g();</SCRIPT >", "<script>s = '<p>\"<b';</script><script>x<y</script>", "<style>/* a<b \" */</style>",
+    "<script>t = '</scripted>';i<n</script\n>", "<noscript><img alt='a<b'></noscript>", "<svg><path d='M0'>", "<select><option>", "<script src='x'/>",
+])
+def test_silent_elements_leave_the_article(silent):
+    page = f"<body>{silent}<article><p>First words.</p><p>Second words.</p></article></body>"
+    assert [b.text for b in html_extract.blocks(page)] == ["First words.", "Second words."]
+
+
+def test_unended_scripts_run_to_the_end():
+    assert [b.text for b in html_extract.blocks("<p>Before.</p><script>i<n <p>no text</p>")] == ["Before."]
+
+
 TURNS = [(0, 0, "system", "s"), (0, 1, "user", "q"), (0, 2, "assistant", "good"), (0, 3, "user", "more"), (1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "bad"),
          (2, 0, "user", None), (3, 0, "user", ""), (5, 1, None, "alone"), (None, 0, "user", "x"), (7, None, "assistant", "z"), (6, None, "assistant", "z"), (6, 1, "assistant", "y"), (6, 1, "assistant", "y"), (7, 1, "assistant", "y")]
 
