@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from pagedrift.llm.common import parts_for, text_bytes
 
-#: Code points of a gram, and grams of a window: any shared stretch of GRAM + WINDOW - 1 code points shares a selected gram.
-GRAM, WINDOW = 32, 64
+#: Code points of a gram, and grams of a window at most: any shared stretch of GRAM + WINDOW - 1 code points shares a selected
+#: gram. Grams are as long in short texts as in long ones, so that all compare; windows shrink with the text.
+GRAM, WINDOW = 8, 64
+#: Windows of a text at least, as far as it has so many grams.
+WINDOWS = 8
 #: Text of a range of documents, in bytes.
 RANGE_BYTES = 24 << 20
 #: Grams that are hashed at once; positions within them fill the low bits.
@@ -39,10 +42,19 @@ def _grams(points: np.ndarray, k: int) -> np.ndarray:
     return _mix(h)
 
 
-def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def window_of(grams: int) -> int:
+    """Window for a text of so many grams: the largest power of two up to WINDOW that goes WINDOWS times into them.
+
+    The minimum of a window is that of each smaller window around it within the shared stretch, so texts of unlike length
+    still share a selected gram in a stretch that fills the larger of their windows.
+    """
+    return min(WINDOW, 1 << max(0, (max(1, grams) // WINDOWS).bit_length() - 1))
+
+
+def winnow(text: str, gram: int = GRAM, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Selected hashes and their positions: the minimum of each window, the rightmost of equal ones, each once.
 
-    gram and window are powers of two. A text shorter than a gram gives one hash of the whole at 0; one with fewer grams
+    gram and window are powers of two; the window is window_of() the text's grams if none is given. A text shorter than a gram gives one hash of the whole at 0; one with fewer grams
     than a window is one window; an empty text gives nothing. Memory is bounded for any length: the text is hashed in
     overlapping chunks.
     """
@@ -54,7 +66,7 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
         whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
         return np.array([whole >> _BITS], np.uint64), np.zeros(1, np.int64)
     grams = n - gram + 1
-    window = min(window, grams)
+    window = min(window or window_of(grams), grams)
     low = np.uint64((1 << _BITS) - 1)
     hashes, places = [], []
     for start in range(0, max(1, grams - window + 1), _CHUNK):

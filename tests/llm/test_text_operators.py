@@ -234,6 +234,24 @@ def test_shared_stretch_is_found():
     assert set(a[0].tolist()) & set(b[0].tolist())
 
 
+def test_short_texts_keep_likeness_to_what_is_left_of_them(spark):
+    texts = [r["text"] or "" for r in docs_of(spark).orderBy(F.desc("doc_id")).collect()]
+    for n in (16, 24, 31, 48, 94, 150):
+        some = [t[:n] for t in texts if len(t) >= n]
+        for t, after in zip(some, some[1:]):
+            edited = t[: n - n // 3] + after[: n // 3]
+            assert fingerprint.likeness(*(set(fingerprint.winnow(x)[0].tolist()) for x in (t, edited))) > 0, (t, edited)
+
+
+def test_texts_of_unlike_length_share_a_gram():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+        short = letters(int(rng.integers(71, 140)))
+        long = letters(2000) + short[: fingerprint.GRAM + fingerprint.WINDOW - 1] + letters(2000)
+        assert set(fingerprint.winnow(short)[0].tolist()) & set(fingerprint.winnow(long)[0].tolist())
+
+
 def test_sharding(spark, monkeypatch):
     df = docs_of(spark)
     monkeypatch.setattr(sharding, "RUN_ROWS", 3)
