@@ -148,9 +148,9 @@ def _compare_blocks(percent: int):
     def compare(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("id"))
         side = np.array(group.column("side"))
-        _, one = np.unique(ids, return_index=True)
-        ids, side = ids[one], side[one]
-        lists = group.column("shingles").combine_chunks().take(pa.array(one))
+        # An id may stand for several sets: each is a row, and a link of any joins the id.
+        own, doc = np.unique(ids, return_inverse=True)
+        lists = group.column("shingles").combine_chunks()
         sizes = np.array([len(x) for x in lists], np.int64)
         flat = np.array(lists.flatten())
         rows = np.repeat(np.arange(len(ids)), sizes)
@@ -165,14 +165,13 @@ def _compare_blocks(percent: int):
         a = np.arange(len(ids)) if (side == 0).all() else np.flatnonzero(side == 0)
         b = a if len(a) == len(ids) else np.flatnonzero(side == 1)
         inter = np.zeros((len(a), len(b)), np.float32)
-        place = np.full(len(ids), -1)
         n = int(many.sum())
         for start in range(0, n, 4096):
             pick = (col >= start) & (col < start + 4096)
             dense = np.zeros((len(ids), min(4096, n - start)), np.float32)
             dense[rows[pick], col[pick] - start] = 1
             inter += dense[a] @ dense[b].T
-        place = np.arange(len(ids))
+        place = np.arange(len(own))
 
         def root(x):
             while place[x] != x:
@@ -183,7 +182,7 @@ def _compare_blocks(percent: int):
         out = []
         union = sizes[a][:, None] + sizes[b][None, :] - inter.astype(np.int64)
         for i, j in zip(*np.nonzero(100 * inter.astype(np.int64) >= percent * union), strict=True):
-            x, y = root(a[i]), root(b[j])
+            x, y = root(doc[a[i]]), root(doc[b[j]])
             if x != y:
                 place[max(x, y)] = min(x, y)
                 out.append((int(ids[a[i]]), int(ids[b[j]])))

@@ -97,6 +97,15 @@ def test_near_duplicates_in_a_large_family_and_repeated_rows(spark):
     assert near_dup.classes(odd(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_repeated_id_in_a_large_bucket(spark):
+    family = lambda name: [" ".join(f"{name}{i}" if i != 5 * k else f"{name}x{k}" for i in range(200)) for k in range(40)]
+    left, right = family("a"), family("b")
+    # Id 0 has a text of each family, so both are one component.
+    rows = [(k, t) for k, t in enumerate(left)] + [(100 + k, t) for k, t in enumerate(right) if k] + [(0, right[0])]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {0}
+
+
 def test_near_duplicates_keep_first(spark):
     kept = near_dup.keep_first(odd(spark))
     assert kept.columns == odd(spark).columns
