@@ -1,192 +1,225 @@
 """Byte-level BPE over a global shuffle of distinct pre-tokens.
 
-Each document's text is cut into pre-tokens whose positions are their order. Documents are dealt to groups; a group sends
-each of its distinct pre-tokens once to the part of the vocabulary that the pre-token's hash names; there, each distinct
-pre-token of the corpus is encoded once; the ids go back to the groups that asked, where they are joined by pre-token and
-put together by position. Decoding joins the ids with the table of token bytes.
+Each text is split once into pre-tokens. Texts of a few megabytes make a chunk, which holds its distinct pre-tokens and, as
+positions, the order in which the texts use them. The pre-tokens of all chunks are exploded, each distinct one of the corpus
+is encoded once and decoded by a join with the token-byte table, and the results are joined back by pre-token and put
+together by position in their chunks.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
-import marshal
-import re
-import zlib
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import parts_for, text_bytes
+from pagedrift.llm.common import HEAVY_KEYS, saved
 
 #: White space as Unicode has it; Python's own class also takes U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Text of a group of documents, in bytes; a group is what one Python call holds.
-GROUP_BYTES = 16 << 20
-#: Text that a task gathers before it sends it to the groups.
-FLUSH_BYTES = 24 << 20
+#: Text of a chunk, in code points; a longer text is a chunk of its own.
+CHUNK = 4 << 20
+#: Code points up to which a text's pre-tokens are listed at once.
+LISTED = 1 << 20
+#: Pre-tokens that are put together at once.
+SLAB = 1 << 20
+#: Parts of a pre-token that very many chunks hold.
+SALTS = 32
 
 
-@functools.lru_cache(maxsize=4)
-def _splitter(pattern: str):
-    return regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"(?!\S)", f"(?![^{_WHITE}])").replace(r"\s", f"[{_WHITE}]")).findall
+def splitter(pattern: str) -> regex.Pattern:
+    """The pattern compiled with white space as Unicode has it."""
+    return regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"(?!\S)", f"(?![^{_WHITE}])").replace(r"\s", f"[{_WHITE}]"))
 
 
-#: Where a blank can't be cut off: amid three or more white-space characters, or before the end.
-_uncuttable = re.compile(rf"[{_WHITE}] (?:[{_WHITE}]|\Z)|\A (?:[{_WHITE}]|\Z)").search
-
-
-class Pieces(dict):
-    """Blank-separated piece of a text to what `make` gives for the piece with the blank before it."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, piece: str):
-        self[piece] = value = self.make(" " + piece)
-        return value
-
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
-def pieces(text: str) -> tuple[str, list[str]]:
-    """A head, and pieces before each of which a blank stands. Cutting there never parts a pre-token."""
-    if _uncuttable(text):
-        return text, []
-    head, *rest = text.split(" ")
-    return head, rest
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a pre-token: of neighbouring parts the pair of the lowest rank merges first, the leftmost of equal ones.
 
-@functools.lru_cache(maxsize=2)
-def _ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    A heap of pairs makes this n log n in the length of the pre-token, which may be a whole text.
+    """
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is no start any more
+    before = list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != stop:
+            continue
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if i and (r := ranks.get(word[before[i] : stop])) is not None:
+            heapq.heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str):
-    import tiktoken
+class _Numbered(dict):
+    """Numbers keys in the order in which they are first asked for."""
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
 
 
-@functools.lru_cache(maxsize=2)
-def _token_bytes(path: str) -> list[bytes]:
-    ranks = _ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return out
+def _packed(x: np.ndarray) -> bytes:
+    planes = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(marshal.dumps(x))
+def _unpacked(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _unpack(x: bytes):
-    return marshal.loads(zstandard.ZstdDecompressor().decompress(x))
+CHUNKS = "chunk long, words array<binary>, ids array<long>, counts array<long>, positions binary"
 
 
-def _deal(groups: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
+def _split(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = splitter(pattern)
+        task = TaskContext.get().partitionId()
+        made = 0
+        numbers, ids, used, size = _Numbered(), [], [], 0
 
-        def flush():
-            rows = sorted(held.items())
-            out = pa.RecordBatch.from_pydict({"grp": pa.array([g for g, _ in rows], pa.int32()), "docs": pa.array([_pack(d) for _, d in rows], pa.binary())})
-            held.clear()
-            return out
+        def chunk() -> pa.RecordBatch:
+            row = {"chunk": [task << 32 | made], "words": [[w.encode() for w in numbers]], "ids": [ids], "counts": [[len(u) for u in used]], "positions": [_packed(np.concatenate(used))]}
+            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = text or ""
-                held.setdefault(zlib.crc32(str(doc_id).encode()) % groups, []).append((doc_id, text))
+                if ids and size + len(text) > CHUNK:
+                    yield chunk()
+                    made += 1
+                    numbers, ids, used, size = _Numbered(), [], [], 0
+                found = find.findall(text) if len(text) <= LISTED else (m[0] for m in find.finditer(text))
+                ids.append(doc_id)
+                used.append(np.fromiter(map(numbers.__getitem__, found), np.uint32))
                 size += len(text)
-                if size >= FLUSH_BYTES:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    return deal
-
-
-def _asked(parts: int, pattern: str):
-    def asked(group: pa.Table) -> pa.Table:
-        split = _splitter(pattern)
-        seen: set[str] = set()
-        found: set[str] = set()
-        for packed in group.column("docs"):
-            for _, text in _unpack(packed.as_py()):
-                head, rest = pieces(text)
-                found.update(split(head))
-                seen.update(rest)
-        for p in seen:
-            found.update(split(" " + p))
-        by: dict[int, list[bytes]] = {}
-        for w in found:
-            by.setdefault(zlib.crc32(x := w.encode()) % parts, []).append(x)
-        rows = sorted(by.items())
-        g = group.column("grp")[0].as_py()
-        return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "grp": pa.array([g] * len(rows), pa.int32()), "asked": pa.array([_pack(sorted(w)) for _, w in rows], pa.binary())})
-
-    return asked
-
-
-def _answered(path: str, pattern: str):
-    def answered(part: pa.Table) -> pa.Table:
-        encode = _encoder(path, pattern)._encode_single_piece
-        ids: dict[bytes, bytes] = {}
-        out = []
-        for packed in part.column("asked"):
-            for w in (asked := _unpack(packed.as_py())):
-                if w not in ids:
-                    ids[w] = np.array(encode(w), "<u4").tobytes()
-            out.append(_pack((asked, [ids[w] for w in asked])))
-        return pa.table({"grp": part.column("grp").cast(pa.int32()), "answered": pa.array(out, pa.binary())})
-
-    return answered
-
-
-def _assembled(path: str, pattern: str):
-    def assembled(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        split, table = _splitter(pattern), _token_bytes(path)
-        ids: dict[str, bytes] = {}
-        for packed in answers.column("answered"):
-            asked, got = _unpack(packed.as_py())
-            ids.update(zip((w.decode() for w in asked), got, strict=True))
-        whole = lambda s: b"".join(map(ids.__getitem__, split(s)))
-        known = Pieces(whole)
-        rows = []
-        for packed in docs.column("docs"):
-            for doc_id, text in _unpack(packed.as_py()):
-                head, rest = pieces(text)
-                row = whole(head) + b"".join(map(known.__getitem__, rest))
-                decoded = b"".join(map(table.__getitem__, np.frombuffer(row, "<u4").tolist()))
-                rows.append((doc_id, len(row) // 4, hashlib.sha256(row).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_tokens": pa.array(cols[1], pa.int64()), "ids_sha256": pa.array(cols[2], pa.string()), "decoded_sha256": pa.array(cols[3], pa.string())})
-
-    return assembled
+        if ids:
+            yield chunk()
+
+    return split
+
+
+def _encoded(ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ranks.value
+        for b in batches:
+            found = [merged(w, known) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["word", "n", "tokens"])
+
+    return encoded
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches of flat that the entries `at` of start and length name, one after the other."""
+    n = length[at]
+    ends = np.cumsum(n)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    return flat[np.arange(ends[-1]) + np.repeat(start[at] - (ends - n), n)]
+
+
+def _stretches(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of a list or binary column end to end, and where each row's start and how many they are."""
+    if pa.types.is_binary(column.type):
+        parts = column.to_pylist()
+        length = np.array([len(p) for p in parts], np.int64)
+        return np.frombuffer(b"".join(parts), kind), np.cumsum(length) - length, length
+    length = np.array(column.value_lengths(), np.int64)
+    return np.array(column.flatten()).astype(kind), np.cumsum(length) - length, length
+
+
+def _assembled(chunk: pa.Table, words: pa.Table) -> pa.Table:
+    order = np.argsort(np.array(words.column("j"), np.int64))
+    tables = []
+    for name, kind in (("tokens", "<u4"), ("spelled", np.uint8)):
+        flat, start, length = _stretches(words.column(name).combine_chunks(), kind)
+        tables.append((flat, start[order], length[order]))
+    rows = []
+    for ids, counts, positions in zip(*(chunk.column(c).to_pylist() for c in ("ids", "counts", "positions")), strict=True):
+        used, at = _unpacked(positions), 0
+        for doc_id, count in zip(ids, counts, strict=True):
+            n, digests = 0, (hashlib.sha256(), hashlib.sha256())
+            for s in range(at, at + count, SLAB):
+                part = used[s : min(s + SLAB, at + count)]
+                n += int(tables[0][2][part].sum())
+                for table, digest in zip(tables, digests, strict=True):
+                    digest.update(_gathered(*table, part).tobytes())
+            rows.append((doc_id, n, *(d.hexdigest() for d in digests)))
+            at += count
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.table({name: pa.array(v, kind) for name, v, kind in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
+
+
+def vocabulary(asked: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Each distinct word of asked(word) once: word, n (its rows), tokens, and spelled, the bytes that its tokens decode to.
+
+    Decoding is a join with the token-byte table, which is broadcast: it has a row for each rank of the file. Only distinct
+    words are exploded to tokens, and a word's tokens come together in its own group.
+    """
+    spark = asked.sparkSession
+    shared = spark.sparkContext.broadcast(ranks)
+    counted = asked.groupBy("word").agg(F.count("*").alias("n"))
+    coded = counted.mapInArrow(_encoded(shared), "word binary, n long, tokens array<int>")
+    by_id = sorted((rank, token.hex()) for token, rank in ranks.items())
+    tokens = spark.createDataFrame(pa.table({"token": pa.array([r for r, _ in by_id], pa.int32()), "hex": pa.array([h for _, h in by_id], pa.string())}))
+    told = coded.select("word", "n", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(tokens), "token")
+    together = told.groupBy("word").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "token", "hex"))).alias("t"))
+    return together.select("word", "n", F.col("t.token").alias("tokens"), F.unhex(F.array_join("t.hex", "")).alias("spelled"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every whole text of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    path names a rank file (a token in base64 and its rank on each line), pattern the split before the merges. The ids
-    are those that tiktoken's encode_ordinary gives; special tokens are ordinary text. A null text is empty and has no
-    tokens; an empty table gives an empty result; a repeated row gives a row each time.
+    path names a rank file (a token in base64 and its rank on each line), which the driver reads and ships; pattern is the
+    split before the merges. The ids are those of byte-pair merging by rank within each match of the pattern; special tokens
+    are ordinary text. A null text is empty and has no tokens; an empty table gives an empty result; a repeated row gives a
+    row each time, whatever its id; other columns play no part.
 
-    Three shuffles: the texts (compressed), and each group's distinct pre-tokens there and back. No task holds more than
-    one group's texts or one part's pre-tokens; the numbers of both follow the bytes of text, so neither grows with them.
+    Two tables are written to the shared folder, so that no text is split and no pre-token encoded twice. A pre-token goes
+    through the shuffle once for each chunk that holds it; one that very many chunks hold is dealt to SALTS parts, and so are
+    its results. Fewer than HEAVY_KEYS pre-tokens are such, and only their hashes are broadcast.
     """
-    n = parts_for(text_bytes(docs), GROUP_BYTES)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_deal(n), "grp int, docs binary")
-    asked = dealt.groupBy("grp").applyInArrow(_asked(n, pattern), "part int, grp int, asked binary")
-    answered = asked.groupBy("part").applyInArrow(_answered(path, pattern), "grp int, answered binary")
-    return dealt.groupBy("grp").cogroup(answered.groupBy("grp")).applyInArrow(_assembled(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chunks = saved(rows.mapInArrow(_split(pattern), CHUNKS))
+    asked = chunks.select("chunk", F.posexplode("words").alias("j", "word"))
+    known = saved(vocabulary(asked, read_ranks(path)))
+    total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = known.where(F.col("n") * HEAVY_KEYS > total).select(F.xxhash64("word").alias("hash")).distinct().withColumn("hot", F.lit(True))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("hash", F.xxhash64("word")).join(F.broadcast(hot), "hash", "left")
+
+    dealt = marked(asked).select("chunk", "j", "word", F.when(F.col("hot"), F.pmod(F.xxhash64("chunk"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    answers = marked(known).select("word", "tokens", "spelled", F.explode(salts).alias("salt"))
+    back = dealt.join(answers, ["word", "salt"]).select("chunk", "j", "tokens", "spelled")
+    homes = chunks.select(F.col("chunk").alias("home"), "ids", "counts", "positions")
+    return homes.groupBy("home").cogroup(back.groupBy("chunk")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space between words: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Keys that count as hot, at most: those with more than this share of all rows.
+HEAVY_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's shared checkpoint folder alone; name one only where none is set, as in tests."""
+    """Leave the cluster's shared checkpoint folder alone. Only a local master, as in tests, may do without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,13 +36,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared checkpoint folder, which goes when the application ends."""
+    with_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def saved(df: DataFrame) -> DataFrame:
     """As cut(), but as a Parquet table in that folder: for many narrow rows, which a checkpoint writes uncompressed."""
-    spark = df.sparkSession
-    with_checkpoint_dir(spark)
-    at = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    at = folder(df.sparkSession, "tables")
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def heavy_keys(rows: DataFrame, on: list[str], total: int, most: int = HEAVY_KEYS) -> DataFrame | None:
+    """The keys that more than total / most of at most `total` rows bear, fewer than `most` by arithmetic; None if there are none."""
+    found = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") * most > total).select(*on)
+    keys = found.collect()
+    return rows.sparkSession.createDataFrame(keys, found.schema) if keys else None
+
+
+def joined(rows: DataFrame, facts: DataFrame, on: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has a row for a key at most. Rows of heavy keys meet a broadcast of the heavy facts, fewer
+    than HEAVY_KEYS rows, where they are; only the others are shuffled, so no task gets all rows of a hot key."""
+    if heavy is None:
+        return rows.join(facts, on, how)
+    keys = F.broadcast(heavy)
+    hot = rows.join(keys, on, "left_semi").join(F.broadcast(facts.join(keys, on, "left_semi")), on, how)
+    return hot.unionByName(rows.join(keys, on, "left_anti").join(facts, on, how))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def words(text: Column) -> Column:

@@ -7,7 +7,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -179,16 +178,29 @@ def test_bpe(spark, encoder, source):
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_pieces_never_part_a_pre_token(encoder):
+def test_bpe_splits_and_merges_as_the_library_does(encoder):
     rng = np.random.default_rng(3)
-    split = bpe._splitter(public_tokenizers.PATTERN)
+    ranks, split = bpe.read_ranks(PATH), bpe.splitter(public_tokenizers.PATTERN)
+    ids = lambda t: [x for w in split.findall(t) for x in bpe.merged(w.encode(), ranks)]
     for _ in range(4000):
-        t = "".join(rng.choice(list("ab1'!\n\t \x1c\x85 　s²"), rng.integers(0, 12), p=None)) + " " * int(rng.integers(0, 3)) + "x" * int(rng.integers(0, 2))
-        head, rest = bpe.pieces(t)
-        cut = split(head) + [w for p in rest for w in split(" " + p)]
-        assert [x for w in cut for x in encoder._encode_single_piece(w.encode())] == encoder.encode_ordinary(t), repr(t)
-        assert cut == split(t)
-    assert regex.__name__
+        t = "".join(rng.choice(list("ab1'!\n\t \x1c\x85\u3000\u2009s\u00b2\u00e9"), rng.integers(0, 12)))
+        assert ids(t) == encoder.encode_ordinary(t), repr(t)
+    for t in ("x" * 20_000, "ab" * 5000 + "a", "".join(rng.choice(list("theand"), 3000)), "=" * 777, "\u6f22" * 500):
+        assert bpe.merged(t.encode(), ranks) == encoder.encode_ordinary(t)
+
+
+def test_bpe_of_repeated_rows_long_texts_small_chunks_and_hot_words(spark, encoder, monkeypatch):
+    # Closures are pickled by reference to the module, so the chunk size of workers stays; many partitions make many chunks.
+    texts = ["same words again and again"] * 30 + [" ".join(f"w{i} again" for i in range(300)), "y" * 50_000, None, ""]
+    rows = [(i % 20 if i % 7 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(17)
+    monkeypatch.setattr(bpe, "HEAVY_KEYS", 40)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(df, PATH, public_tokenizers.PATTERN).collect())
+    want = []
+    for d, t in rows:
+        ids = encoder.encode_ordinary(t or "")
+        want.append((str(d), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want)
 
 
 def test_fingerprints(spark):
