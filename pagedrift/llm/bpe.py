@@ -1,9 +1,9 @@
 """Byte-level BPE over a global shuffle of distinct pre-tokens.
 
-Each text is split once into pre-tokens. Texts of a few megabytes make a chunk, which holds its distinct pre-tokens and, as
-positions, the order in which the texts use them. The pre-tokens of all chunks are exploded, each distinct one of the corpus
-is encoded once and decoded by a join with the token-byte table, and the results are joined back by pre-token and put
-together by position in their chunks.
+Each text is split once into pre-tokens. Texts of some megabytes make a chunk, which stays where it is as positions: for each
+place in its texts the number of the pre-token there. A chunk sends each of its distinct pre-tokens to the part of the
+vocabulary that the pre-token's hash names. There each distinct pre-token of the corpus is encoded once, and decoded once by
+a join of its ids with the token-byte table; ids and bytes return to the chunks and are put together by position.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
+import marshal
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,18 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import HEAVY_KEYS, saved
+from pagedrift.llm.common import parts_for, text_bytes
 
 #: White space as Unicode has it; Python's own class also takes U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Text of a chunk, in code points; a longer text is a chunk of its own.
-CHUNK = 4 << 20
-#: Code points up to which a text's pre-tokens are listed at once.
-LISTED = 1 << 20
-#: Pre-tokens that are put together at once.
-SLAB = 1 << 20
-#: Parts of a pre-token that very many chunks hold.
-SALTS = 32
+CHUNK = 16 << 20
+#: Text for which there is one more part of the vocabulary, in bytes, and parts at most: what a chunk sends is bounded so.
+PART_BYTES, MOST_PARTS = 32 << 20, 4096
+#: Code points up to which a text's pre-tokens are listed at once, and pre-tokens that are put together at once.
+LISTED, SLAB = 1 << 20, 1 << 20
+#: Rows of ids that leave an encoding task at once.
+ROWS = 50_000
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -85,30 +88,43 @@ class _Numbered(dict):
         return number
 
 
-def _packed(x: np.ndarray) -> bytes:
-    planes = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def _pack(x) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(marshal.dumps(x))
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def _unpack(x: bytes):
+    return marshal.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-CHUNKS = "chunk long, words array<binary>, ids array<long>, counts array<long>, positions binary"
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on, which packs well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _split(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _split(pattern: str, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (slot, chunk, payload): for each chunk its texts as positions, at slot chunk, and its distinct pre-tokens by parts
+    of the vocabulary, at slot -1 - part. Pre-tokens are numbered in order of part."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = splitter(pattern)
         task = TaskContext.get().partitionId()
         made = 0
-        numbers, ids, used, size = _Numbered(), [], [], 0
+        found, ids, used, size = _Numbered(), [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            row = {"chunk": [task << 32 | made], "words": [[w.encode() for w in numbers]], "ids": [ids], "counts": [[len(u) for u in used]], "positions": [_packed(np.concatenate(used))]}
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
+            name = task << 32 | made
+            spelled = [w.encode() for w in found]
+            part = [zlib.crc32(w) % parts for w in spelled]
+            order = sorted(range(len(spelled)), key=lambda i: (part[i], spelled[i]))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            rows = [(name, _pack((ids, [len(u) for u in used], _planes(rank[np.concatenate(used)]))))]
+            rows += [(-1 - p, _pack([spelled[i] for i in group])) for p, group in itertools.groupby(order, part.__getitem__)]
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["slot", "chunk", "payload"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -116,10 +132,10 @@ def _split(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 if ids and size + len(text) > CHUNK:
                     yield chunk()
                     made += 1
-                    numbers, ids, used, size = _Numbered(), [], [], 0
-                found = find.findall(text) if len(text) <= LISTED else (m[0] for m in find.finditer(text))
+                    found, ids, used, size = _Numbered(), [], [], 0
+                each = find.findall(text) if len(text) <= LISTED else (m[0] for m in find.finditer(text))
                 ids.append(doc_id)
-                used.append(np.fromiter(map(numbers.__getitem__, found), np.uint32))
+                used.append(np.fromiter(map(found.__getitem__, each), np.uint32))
                 size += len(text)
         if ids:
             yield chunk()
@@ -128,15 +144,80 @@ def _split(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _encoded(ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (word, token) for each pre-token that a task meets first, numbered as they come, a row an id; and after them rows
+    (chunk, part, asked) that name what a chunk asks for by these numbers."""
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks.value
+        known, numbers = ranks.value, _Numbered()
+        words, tokens, asked = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            n, m = len(words), len(asked)
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            values = [words + [None] * m, tokens + [None] * m, *([None] * n + [a[i] for a in asked] for i in range(3))]
+            for x in (words, tokens, asked):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["word", "token", "chunk", "part", "asked"])
+
         for b in batches:
-            found = [merged(w, known) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["word", "n", "tokens"])
+            for i, slot in enumerate(b.column(0).to_pylist()):
+                if slot >= 0:
+                    continue
+                line = []
+                for w in _unpack(b.column(2)[i].as_py()):
+                    before = len(numbers)
+                    k = numbers[w]
+                    if k == before:
+                        ids = merged(w, known)
+                        tokens += ids
+                        words += [k] * len(ids)
+                    line.append(k)
+                asked.append((b.column(1)[i].as_py(), -1 - slot, _pack(_planes(np.array(line, np.uint32)))))
+                if len(words) >= ROWS:
+                    yield flush()
+        if asked:
+            yield flush()
 
     return encoded
 
 
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, part, payload): for what a chunk asked, the ids and the bytes of each pre-token and how many they are.
+
+    The ids of a pre-token come before the first row that asks for it, in the order in which the task before wrote them.
+    """
+    tokens: list[bytes] = []
+    spelled: list[bytes] = []
+    for b in batches:
+        word = b.column("word").drop_null()
+        n = len(word)
+        if n:
+            has = b.column("word").is_valid()
+            w = np.array(word)
+            ids = np.array(b.column("token").filter(has)).astype("<u4").tobytes()
+            data = b.column("bytes").filter(has).to_pylist()
+            heads = np.concatenate(([0], np.flatnonzero(np.diff(w)) + 1, [n])).tolist()
+            for s, e in zip(heads, heads[1:]):
+                k = w[s]
+                if k == len(tokens):
+                    tokens.append(b"")
+                    spelled.append(b"")
+                elif k != len(tokens) - 1:
+                    raise RuntimeError("ids of pre-tokens have come out of order")
+                tokens[k] += ids[4 * s : 4 * e]
+                spelled[k] += b"".join(data[s:e])
+        rows = []
+        for chunk, part, packed in zip(*(b.column(c).filter(b.column("word").is_null()).to_pylist() for c in ("chunk", "part", "asked")), strict=True):
+            line = _numbers(_unpack(packed)).tolist()
+            answer = []
+            for table in (tokens, spelled):
+                found = [table[k] for k in line]
+                answer += [_planes(np.array([len(x) for x in found], np.uint32)), b"".join(found)]
+            rows.append((chunk, part, _pack(tuple(answer))))
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["slot", "part", "payload"])
+
+
 def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The stretches of flat that the entries `at` of start and length name, one after the other."""
     n = length[at]
@@ -146,55 +227,31 @@ def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.nd
     return flat[np.arange(ends[-1]) + np.repeat(start[at] - (ends - n), n)]
 
 
-def _stretches(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The values of a list or binary column end to end, and where each row's start and how many they are."""
-    if pa.types.is_binary(column.type):
-        parts = column.to_pylist()
-        length = np.array([len(p) for p in parts], np.int64)
-        return np.frombuffer(b"".join(parts), kind), np.cumsum(length) - length, length
-    length = np.array(column.value_lengths(), np.int64)
-    return np.array(column.flatten()).astype(kind), np.cumsum(length) - length, length
-
-
-def _assembled(chunk: pa.Table, words: pa.Table) -> pa.Table:
-    order = np.argsort(np.array(words.column("j"), np.int64))
+def _assembled(home: pa.Table, answers: pa.Table) -> pa.Table:
+    parts = sorted(zip(answers.column("part").to_pylist(), answers.column("payload").to_pylist(), strict=True))
+    found = [_unpack(x) for _, x in parts]
     tables = []
-    for name, kind in (("tokens", "<u4"), ("spelled", np.uint8)):
-        flat, start, length = _stretches(words.column(name).combine_chunks(), kind)
-        tables.append((flat, start[order], length[order]))
+    for i, kind in ((0, "<u4"), (2, np.uint8)):
+        width = np.dtype(kind).itemsize
+        length = np.concatenate([_numbers(f[i]).astype(np.int64) // width for f in found] or [np.zeros(0, np.int64)])
+        tables.append((np.frombuffer(b"".join(f[i + 1] for f in found), kind), np.cumsum(length) - length, length))
     rows = []
-    for ids, counts, positions in zip(*(chunk.column(c).to_pylist() for c in ("ids", "counts", "positions")), strict=True):
-        used, at = _unpacked(positions), 0
+    for packed in home.column("payload"):
+        ids, counts, planes = _unpack(packed.as_py())
+        used, at = _numbers(planes), 0
         for doc_id, count in zip(ids, counts, strict=True):
             n, digests = 0, (hashlib.sha256(), hashlib.sha256())
             for s in range(at, at + count, SLAB):
-                part = used[s : min(s + SLAB, at + count)]
-                n += int(tables[0][2][part].sum())
+                places = used[s : min(s + SLAB, at + count)]
+                n += int(tables[0][2][places].sum())
                 for table, digest in zip(tables, digests, strict=True):
-                    digest.update(_gathered(*table, part).tobytes())
+                    digest.update(_gathered(*table, places).tobytes())
             rows.append((doc_id, n, *(d.hexdigest() for d in digests)))
             at += count
     columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
     return pa.table({name: pa.array(v, kind) for name, v, kind in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
 
-def vocabulary(asked: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Each distinct word of asked(word) once: word, n (its rows), tokens, and spelled, the bytes that its tokens decode to.
-
-    Decoding is a join with the token-byte table, which is broadcast: it has a row for each rank of the file. Only distinct
-    words are exploded to tokens, and a word's tokens come together in its own group.
-    """
-    spark = asked.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
-    counted = asked.groupBy("word").agg(F.count("*").alias("n"))
-    coded = counted.mapInArrow(_encoded(shared), "word binary, n long, tokens array<int>")
-    by_id = sorted((rank, token.hex()) for token, rank in ranks.items())
-    tokens = spark.createDataFrame(pa.table({"token": pa.array([r for r, _ in by_id], pa.int32()), "hex": pa.array([h for _, h in by_id], pa.string())}))
-    told = coded.select("word", "n", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(tokens), "token")
-    together = told.groupBy("word").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "token", "hex"))).alias("t"))
-    return together.select("word", "n", F.col("t.token").alias("tokens"), F.unhex(F.array_join("t.hex", "")).alias("spelled"))
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every whole text of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -203,23 +260,19 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     are ordinary text. A null text is empty and has no tokens; an empty table gives an empty result; a repeated row gives a
     row each time, whatever its id; other columns play no part.
 
-    Two tables are written to the shared folder, so that no text is split and no pre-token encoded twice. A pre-token goes
-    through the shuffle once for each chunk that holds it; one that very many chunks hold is dealt to SALTS parts, and so are
-    its results. Fewer than HEAVY_KEYS pre-tokens are such, and only their hashes are broadcast.
+    One shuffle serves both sides: positions go to their chunk's task, distinct pre-tokens to the vocabulary. A second brings
+    the answers. A chunk sends at most MOST_PARTS messages, so their number grows with the text, and a pre-token is in one of
+    them however often the chunk holds it, so no part is hot. The token-byte table is broadcast: a row for each rank.
     """
+    spark = docs.sparkSession
+    ranks = read_ranks(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = saved(rows.mapInArrow(_split(pattern), CHUNKS))
-    asked = chunks.select("chunk", F.posexplode("words").alias("j", "word"))
-    known = saved(vocabulary(asked, read_ranks(path)))
-    total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = known.where(F.col("n") * HEAVY_KEYS > total).select(F.xxhash64("word").alias("hash")).distinct().withColumn("hot", F.lit(True))
-
-    def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("hash", F.xxhash64("word")).join(F.broadcast(hot), "hash", "left")
-
-    dealt = marked(asked).select("chunk", "j", "word", F.when(F.col("hot"), F.pmod(F.xxhash64("chunk"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    answers = marked(known).select("word", "tokens", "spelled", F.explode(salts).alias("salt"))
-    back = dealt.join(answers, ["word", "salt"]).select("chunk", "j", "tokens", "spelled")
-    homes = chunks.select(F.col("chunk").alias("home"), "ids", "counts", "positions")
-    return homes.groupBy("home").cogroup(back.groupBy("chunk")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    parts = min(MOST_PARTS, parts_for(text_bytes(rows), PART_BYTES))
+    dealt = rows.mapInArrow(_split(pattern, parts), "slot long, chunk long, payload binary").repartition("slot")
+    asked = dealt.mapInArrow(_encoded(spark.sparkContext.broadcast(ranks)), "word int, token int, chunk long, part int, asked binary")
+    by_rank = sorted((rank, token) for token, rank in ranks.items())
+    tokens = spark.createDataFrame(pa.table({"token": pa.array([r for r, _ in by_rank], pa.int32()), "bytes": pa.array([t for _, t in by_rank], pa.binary())}))
+    answered = asked.join(F.broadcast(tokens), "token", "left").mapInArrow(_answered, "slot long, part int, payload binary")
+    # Not known beforehand to the optimiser, or it would deal the positions by a shuffle of their own.
+    homes = dealt.where(F.when(F.monotonically_increasing_id() >= 0, F.col("slot") >= 0))
+    return homes.groupBy("slot").cogroup(answered.groupBy("slot")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
