@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import bound, cut, words
+from pagedrift.llm.common import bound, cut, unused, words
 from pagedrift.llm.line_dedup import LAST_ID
 
 SHINGLE = 5
@@ -15,14 +15,16 @@ CONTAINMENT = 0.8
 BROADCAST_ROWS = 1_000_000
 
 
-def _runs(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with, as out, the hashes of the runs of SHINGLE words of column text in order; of all words if there are fewer."""
+def _runs(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """df with, for each k of sizes, as run<k> the hashes of the runs of k words of column text, in order."""
+    spelled = words(F.lower(F.col("text").cast("string")))
 
     def hashed(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
-        return F.when(F.get(w, F.lit(0)) != "", F.transform(at, lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
+        at = lambda k: F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
+        run = lambda k: F.when((F.get(w, F.lit(0)) != "") & (F.size(w) >= k), F.transform(at(k), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(*[run(k).alias(f"run{k}") for k in sizes])
 
-    return df.withColumn(out, bound(words(F.lower(F.col(text).cast("string"))), hashed))
+    return df.withColumn("_runs", bound(spelled, hashed)).select(*df.columns, *[F.col(f"_runs.run{k}") for k in sizes])
 
 
 def sketch_size(span: int) -> int:
@@ -49,32 +51,44 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -
     """Pairs of docs(doc_id, text) and items(item_id, text) whose item lies in the document: doc_id, item_id, n_shingles,
     n_found, containment.
 
-    A document holds an item if it has at least `containment` of the item's distinct 5-word shingles (words in lower case;
-    of an item of fewer words, the whole sequence, which only a document of just these words has). Items are partitioned
-    by distinct shingles into spans, powers of two. For each span in use, a long document is cut into overlapping windows of twice the
-    span, so that item and window are of like size, and each window keeps the least hashes of its shingles. Items meet
-    windows that share a hash of both sketches; exact containment in the whole document confirms each pair.
+    A document holds an item if it has at least `containment` of the item's distinct 5-word shingles (words in lower case).
+    An item of fewer words has one shingle, all its words, which may stand anywhere in a document.
+
+    Items are partitioned by distinct shingles into spans, powers of two. For each span in use, a long document is cut into
+    overlapping windows of twice the span, so that item and window are of like size, and each window keeps the least hashes
+    of its shingles. Items meet windows that share a hash of both sketches; exact containment in the whole document confirms
+    each pair. For each number of words under five in use, all runs of so many words of a document are looked up, for a
+    sketch of one shingle is that shingle.
 
     Null and empty texts hold nothing and are held by nothing. Rows with a null doc_id are one document with a null id in
-    the result; of rows with equal ids the best containment counts, as for items. Empty tables give an empty result.
+    the result; of rows with equal ids the best containment counts, as for items. Empty tables give an empty result; other
+    columns play no part.
     """
-    spelled = _runs(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "text", "runs").drop("text")
-    spelled = cut(spelled.withColumn("set", F.array_distinct("runs")).where(F.size("set") > 0).select("item_id", "set", F.size("set").alias("n"), F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2(F.size("set")))).cast("int")).alias("span")))
-    spans = sorted(r["span"] for r in spelled.select("span").distinct().collect())  # a row for each power of two
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col("text"))
-    if not spans:
-        return keyed.join(spelled.select("item_id").limit(0)).select(F.col("doc").alias("doc_id"), "item_id", F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment")).limit(0)
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    every = range(1, SHINGLE + 1)
+    most = F.greatest(*[F.when(F.size(f"run{k}") > 0, F.lit(k)).otherwise(0) for k in every])
+    spelled = _runs(named, list(every)).withColumn("k", most).where("k > 0")
+    of_item = F.coalesce(*[F.when(F.col("k") == k, F.array_distinct(f"run{k}")) for k in every])
+    spelled = spelled.select("item_id", "k", of_item.alias("set")).withColumn("n", F.size("set"))
+    spelled = cut(spelled.withColumn("span", F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int"))))
+    in_use = spelled.select("k", "span").distinct().collect()  # a row for each power of two, and for each k under five
+    schema = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
+    if not in_use:
+        return docs.sparkSession.createDataFrame([], schema)
+    sizes = sorted({r["k"] for r in in_use})
+    spans = sorted(r["span"] for r in in_use if r["k"] == SHINGLE)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     size = F.lit(16) + F.floor(F.col("span") / 2).cast("int") + F.ceil((1 - containment) * F.col("n")).cast("int") + 1
     asked = cut(spelled.select("item_id", F.explode(F.slice(F.sort_array("set"), F.lit(1), size)).alias("hash")))
     few = asked.count() <= BROADCAST_ROWS
-    runs = _runs(keyed, "text", "runs").select("doc", "runs")
-    sketched = runs.select("doc", F.explode(F.array_distinct(F.concat(*[_window_sketches(F.col("runs"), s) for s in spans]))).alias("hash"))
+    sketches = [_window_sketches(F.col(f"run{SHINGLE}"), s) for s in spans] + [F.col(f"run{k}") for k in sizes if k < SHINGLE]
+    sketched = _runs(keyed, sizes).select("doc", F.explode(F.array_distinct(F.concat(*sketches))).alias("hash"))
     met = cut(sketched.join(F.broadcast(asked) if few else asked, "hash").select("doc", "item_id").distinct())
     wanted = met.select("doc").distinct()
     wanted = F.broadcast(wanted) if met.count() <= BROADCAST_ROWS else wanted
-    sets = _runs(keyed.join(wanted, "doc", "left_semi"), "text", "runs").select("doc", "runs")
-    n_found = F.size(F.array_intersect("set", "runs"))
-    tested = met.join(F.broadcast(spelled) if few else spelled, "item_id").join(sets, "doc").select("doc", "item_id", F.col("n").alias("n_shingles"), n_found.alias("n_found"))
+    sets = _runs(keyed.join(wanted, "doc", "left_semi"), sizes).drop("text")
+    of_doc = F.coalesce(*[F.when(F.col("k") == k, F.col(f"run{k}")) for k in sizes])
+    tested = met.join(F.broadcast(spelled) if few else spelled, "item_id").join(sets, "doc").select("doc", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("set", of_doc)).alias("n_found"))
     found = tested.where(F.col("n_found") >= F.lit(containment) * F.col("n_shingles")).withColumn("containment", F.col("n_found") / F.col("n_shingles"))
     best = found.groupBy("doc", "item_id").agg(F.max(F.struct("containment", "n_shingles", "n_found")).alias("b"))
     return best.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "item_id", F.col("b.n_shingles").cast("long").alias("n_shingles"), F.col("b.n_found").cast("long").alias("n_found"), F.col("b.containment").alias("containment"))
@@ -82,5 +96,6 @@ def leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    found = leaks(docs, items, containment).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_doc")).distinct()
-    return docs.join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_doc"), "left_anti")
+    name = unused(docs, "_doc")
+    found = leaks(docs, items, containment).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(name)).distinct()
+    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == found[name], "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from pagedrift.llm.common import parts_for, text_bytes
 GRAM, WINDOW = 8, 64
 #: Windows of a text at least, as far as it has so many grams.
 WINDOWS = 8
-#: Text of a range of documents, in bytes.
-RANGE_BYTES = 24 << 20
+#: Text of a range of documents, in bytes, and ranges at most: the driver holds one first document's id for each.
+RANGE_BYTES, MOST_RANGES = 24 << 20, 16_384
 #: Grams that are hashed at once; positions within them fill the low bits.
 _BITS = 20
 _CHUNK = (1 << _BITS) - 1 - WINDOW
@@ -99,31 +100,54 @@ def written(h: np.ndarray, p: np.ndarray) -> str:
     return out.tobytes().hex()
 
 
-def _by_range(bounds: list[int], heads: dict[int, list[int]]):
-    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.array(bounds, np.int64)
+class Bounds:
+    """Where ranges of rows end, in ascending order of key, then tie. A row belongs to the range after the last bound that
+    isn't above it."""
+
+    def __init__(self, keys: list[int]):
+        """A key that takes several places among the quantiles has its rows divided among as many ranges, by tie."""
+        found = [(k, LEAST_ID + (i << 64) // n) for k, n in sorted(Counter(keys).items()) for i in range(n)]
+        self.keys, self.ties = (np.array([b[i] for b in found], np.int64) for i in range(2))
+
+    def ranges(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        for i in np.flatnonzero(high > low):
+            low[i] += np.searchsorted(self.ties[low[i] : high[i]], ties[i], "right")
+        return low
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array(b.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("key", "tie"))
+
+
+def _first_rows(bounds: Bounds):
+    """The first row in descending order, that is the largest (key, tie), of each range that a task sees."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: dict[int, tuple[int, int]] = {}
         for b in batches:
-            ids = np.array(b.column(0).to_numpy(zero_copy_only=False), np.int64)
-            parts = np.searchsorted(at, ids, side="right")
-            rows = [(p, False, i) for i, p in enumerate(parts.tolist())] + [(p, True, i) for i, x in enumerate(ids.tolist()) for p in heads.get(x, ())]
-            take = pa.array([i for *_, i in rows], pa.int32())
-            for s in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in rows[s : s + 500]], pa.int32()), pa.array([h for _, h, _ in rows[s : s + 500]], pa.bool_()), b.column(0).take(take[s : s + 500]), b.column(1).take(take[s : s + 500])], ["part", "halo", "key", "text"])
+            keys, ties = _arrays(b)
+            for p, *row in zip(bounds.ranges(keys, ties).tolist(), keys.tolist(), ties.tolist(), strict=True):
+                most[p] = max(most.get(p, (LEAST_ID, LEAST_ID)), tuple(row))
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (list(most), [k for k, _ in most.values()], [t for _, t in most.values()])], ["part", "key", "tie"])
+
+    return first
 
-    return by_range
 
+def _by_range(bounds: Bounds, heads: dict[tuple[int, int], list[int]]):
+    """Each row to its range, and the first row of a range also to the range before it in descending order, as its halo."""
 
-def _largest(bounds: list[int]):
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, most = np.array(bounds, np.int64), {}
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.array(b.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for p, x in zip(np.searchsorted(at, ids, side="right").tolist(), ids.tolist(), strict=True):
-                if x >= most.get(p, LEAST_ID):
-                    most[p] = x
-        yield pa.RecordBatch.from_pydict({"part": pa.array(most.keys(), pa.int32()), "most": pa.array(most.values(), pa.int64())})
+            keys, ties = _arrays(b)
+            rows = [(p, False, i) for i, p in enumerate(bounds.ranges(keys, ties).tolist())]
+            rows += [(p, True, i) for i, row in enumerate(zip(keys.tolist(), ties.tolist(), strict=True)) for p in heads.get(row, ())]
+            for s in range(0, len(rows), 500):
+                part, halo, at = zip(*rows[s : s + 500], strict=True)
+                taken = b.take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(halo, pa.bool_()), *(taken.column(c) for c in ("key", "tie", "text"))], ["part", "halo", "key", "tie", "text"])
 
-    return largest
+    return by_range
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -142,7 +166,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.append((None if key == LEAST_ID else key, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(h, p), written(eh, ep), likeness(mine, set(eh.tolist())), likeness(mine, set(selected[0].tolist()))))
 
     for b in batches:
-        for part, halo, key, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for part, halo, key, text in zip(*(b.column(c).to_pylist() for c in ("part", "halo", "key", "text")), strict=True):
             if last is not None and last[0] == part:
                 now = winnow(text)
                 close(text, now)
@@ -161,23 +185,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last third of the code points replaced by the first as many of the next document, by
     descending doc_id; after the last comes the first. A null text is empty and a null doc_id comes last. Rows with equal
-    ids follow each other by text. An empty table gives an empty result; a lone row is its own next document.
+    ids follow each other by a hash of the text, descending. An empty table gives an empty result; a lone row is its own next
+    document; other columns play no part.
 
     One shuffle, by ranges of doc_id. Each range also gets the first document of the range that follows it, so no
-    neighbour is ever looked up by a join, and a task holds two documents at a time.
+    neighbour is looked up by a join, and a task holds two documents at a time, however many its range has. An id that very
+    many rows bear is divided among ranges by the hash of their texts.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = parts_for(text_bytes(rows), RANGE_BYTES)
-    found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted(set(found))
-    most = {r["part"]: r["most"] for r in rows.select("key").mapInArrow(_largest(bounds), "part int, most long").groupBy("part").agg(F.max("most").alias("most")).collect()}  # a row for each range
-    order = sorted(most, reverse=True)
-    heads: dict[int, list[int]] = {}
-    for i, part in enumerate(order):
-        heads.setdefault(most[order[(i + 1) % len(order)]], []).append(part)
-    dealt = rows.mapInArrow(_by_range(bounds, heads), "part int, halo boolean, key long, text string")
+    rows = rows.select("key", F.xxhash64("text").alias("tie"), "text")
+    n = min(MOST_RANGES, parts_for(text_bytes(rows), RANGE_BYTES))
+    found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] or []
+    bounds = Bounds(found)
+    first = rows.select("key", "tie").mapInArrow(_first_rows(bounds), "part long, key long, tie long")
+    order = sorted((r["part"], r["row"]) for r in first.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("row")).collect())[::-1]  # a row for each range
+    heads: dict[tuple[int, int], list[int]] = {}
+    for i, (part, _) in enumerate(order):
+        heads.setdefault(tuple(order[(i + 1) % len(order)][1]), []).append(part)
+    dealt = rows.mapInArrow(_by_range(bounds, heads), "part int, halo boolean, key long, tie long, text string")
     # A range's number names its task, so that no two ranges meet in one.
-    shuffled = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "halo", F.desc("key"), "text")
+    shuffled = dealt.repartitionById(len(found) + 1, "part").sortWithinPartitions("part", "halo", F.desc("key"), F.desc("tie"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return shuffled.mapInArrow(_compared, schema)

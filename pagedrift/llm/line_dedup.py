@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagedrift.llm.common import SPACE_CLASS, bound, cut, saved, words
+from pagedrift.llm.common import HEAVY_KEYS, SPACE_CLASS, bound, cut, heavy_keys, joined, saved, unused
 
-#: Lines of fewer words are never dropped: one edit of five words leaves a similarity of 0.8.
+#: Lines of fewer words have no near copies, only exact ones: one edit of five words leaves a similarity of 0.8.
 LEAST_WORDS = 5
-#: Rows of 16 bytes that are broadcast at most; more are shuffled.
+#: Rows of 16 bytes that are broadcast at most; more are shuffled. A run has up to four such broadcasts, 64 MB in all.
 BROADCAST_ROWS = 1_000_000
 LAST_ID = (1 << 63) - 1
 
@@ -23,9 +23,17 @@ def _hashed(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
+def _row(docs: DataFrame) -> list[Column]:
+    """What tells documents apart and puts them in order: the id, then a hash of the text, so that rows are one document only
+    if both are equal."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)), F.xxhash64(docs["text"].cast("string"))]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    text = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.posexplode(text).alias("pos", "line"))
+    """Lines that have words: doc, tie, pos, and plain, the line's words parted by single blanks."""
+    doc, tie = _row(docs)
+    lines = docs.select(doc.alias("doc"), tie.alias("tie"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
+    return lines.select("doc", "tie", "pos", _plain(F.col("line")).alias("plain")).where("plain <> ''")
 
 
 def _plain(line: Column) -> Column:
@@ -64,31 +72,36 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Lines that go: (doc, drop), drop the positions, from 0, of a document's lines that repeat or nearly repeat an earlier one.
+    """Lines that go: (doc, tie, drop), drop the positions, from 0, of a document's lines that repeat or nearly repeat an earlier one.
 
-    Lines have an order by doc_id, then position. A line of at least least_words words goes if an earlier line equals it
-    or is within one edited word of it. Exact copies meet by their hash. For near copies each distinct line emits its
-    deletion neighbourhood, the line without its i-th word for each i, as keys (words, i, hash): lines of equal length
-    within one substitution share such a key, and its earliest line is the witness against the others; a line with one
-    word more shares a hash with the whole of the other, and the earlier of both is a witness. An exact check of the words
-    confirms each. A key has one witness and a whole is one line, so no pairs of a group are listed.
+    Lines have an order by doc_id, then a hash of the text, then position. A line is its words; white space between and around
+    them doesn't count. It goes if an earlier line has the same words or, from least_words words on, if an earlier line of as
+    many is within one edited word of it. A line without words never goes.
+
+    Exact copies, of any length, meet by their hash. For near copies each distinct line emits its deletion neighbourhood,
+    the line without its i-th word for each i, as keys (words, i, hash): lines of equal length within one substitution share
+    such a key, and its earliest line is the witness against the others; a line with one word more shares a hash with the
+    whole of the other, and the earlier of both is a witness. An exact check of the words confirms each. A key has one
+    witness and a whole is one line, so no pairs of a group are listed: a line has at most two witnesses for each word.
 
     First, lines without a partner are set aside without loss: two lines within one edit share a half, so a line whose
-    halves no other line has emits nothing.
+    halves no other line has emits nothing. Keys that more than a thousandth of the rows bear, be they lines, variants or
+    witnesses, are joined by broadcast and not shuffled.
     """
     lines = _lines(docs)
-    plain = lines.select("doc", "pos", "line", _plain(F.col("line")).alias("plain")).withColumn("n", _count(F.col("plain"))).where(F.col("n") >= least_words)
-    told = saved(plain.select("doc", "pos", *_hashed(F.col("line")), _halves(F.col("plain"), F.col("n")).alias("halves")))
-    here = told.groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("at"), F.min("pos").alias("pos"))
-    first = here.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    long = F.col("n") >= least_words
+    counted = lines.withColumn("n", _count(F.col("plain")))
+    told = saved(counted.select("doc", "tie", "pos", *_hashed(F.col("plain")), F.when(long, _halves(F.col("plain"), F.col("n"))).alias("halves")))
+    where = F.struct("doc", "tie", "pos")
+    repeated = saved(told.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1"))
 
     halves = told.select("h1", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
     near = cut(halves.join(_spread(cut(met)), "half", "left_semi").select("h1").distinct())
-    found = lines.select("doc", "pos", "line", *_hashed(F.col("line")))
-    texts = cut(found.join(_spread(near), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("line").alias("line")))
+    found = lines.select(where.alias("at"), "plain", *_hashed(F.col("plain")))
+    texts = cut(found.join(_spread(near), "h1", "left_semi").groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("plain").alias("plain")))
 
-    each = texts.select("h1", "h2", "first", F.posexplode(words(F.col("line"))).alias("i", "word")).select("h1", "h2", "first", "i", F.xxhash64("word", "i").alias("a"), F.xxhash64("word", F.col("i") - 1).alias("b"))
+    each = texts.select("h1", "h2", "first", F.posexplode(F.split("plain", " ")).alias("i", "word")).select("h1", "h2", "first", "i", F.xxhash64("word", "i").alias("a"), F.xxhash64("word", F.col("i") - 1).alias("b"))
     to_here = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("h1", "h2")
     # What stands before the i-th word keeps its place; what stands after it moves up by one.
@@ -98,40 +111,54 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     # One row for each word left out, and one for the whole line, at -1.
     either = F.array(F.struct("i", (F.col("n") - 1).alias("n"), without.alias("hash")), F.when(F.col("i") == 0, F.struct(F.lit(-1).alias("i"), F.col("n"), F.col("a_all").alias("hash"))))
     variants = saved(sums.select(order.alias("line"), F.explode(F.array_compact(either)).alias("v")).select("line", "v.*").withColumn("key", F.xxhash64("n", "i", "hash")))
+    total = variants.count()
     deleted, as_is = variants.where("i >= 0"), variants.where("i = -1")
     # Narrow rows first: most keys are of one line, and most hashes of no whole line.
     lines_of = deleted.select("key", F.col("line.h1").alias("h1")).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
-    together = deleted.join(_spread(cut(lines_of.where("a <> b").select("key"))), "key", "left_semi")
+    together = saved(deleted.join(_spread(cut(lines_of.where("a <> b").select("key"))), "key", "left_semi").drop("key"))
     shared = together.groupBy("n", "i", "hash").agg(F.min("line").alias("witness"), F.max("line").alias("last")).where("witness <> last").drop("last")
-    substituted = together.join(shared, ["n", "i", "hash"]).select("line", "witness")
-    reached = deleted.join(_spread(cut(as_is.select("hash").distinct())), "hash", "left_semi")
-    inserted = reached.select(F.col("line").alias("longer"), "n", "hash").join(as_is.select(F.col("line").alias("shorter"), "n", "hash"), ["n", "hash"])
-    against = substituted.union(inserted.select(F.greatest("longer", "shorter"), F.least("longer", "shorter"))).where("witness < line").distinct()
-    spelled = texts.select(order.alias("line"), words(F.col("line")).alias("words"))
-    checked = against.join(spelled, "line").join(spelled.select(F.col("line").alias("witness"), F.col("words").alias("of")), "witness").where(_within_one(F.col("words"), F.col("of")))
-    gone = cut(checked.select(F.col("line.h1").alias("h1"), F.col("line.h2").alias("h2")).distinct().withColumn("near", F.lit(True)))
-
-    judged = here.join(first, ["h1", "h2"]).join(_spread(gone), ["h1", "h2"], "left")
-    goes = F.when(F.col("near") | (F.col("doc") != F.col("first.doc")), F.col("at")).otherwise(F.array_except("at", F.array("pos")))
-    return judged.select("doc", goes.alias("at")).where(F.size("at") > 0).groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("drop"))
+    substituted = joined(together, shared, ["n", "i", "hash"], heavy_keys(together, ["n", "i", "hash"], total)).select("line", "witness")
+    reached = saved(deleted.join(_spread(cut(as_is.select("hash").distinct())), "hash", "left_semi").select(F.col("line").alias("longer"), "n", "hash"))
+    wholes = as_is.select(F.col("line").alias("shorter"), "n", "hash")
+    inserted = joined(reached, wholes, ["n", "hash"], heavy_keys(reached, ["n", "hash"], total))
+    against = saved(substituted.union(inserted.select(F.greatest("longer", "shorter"), F.least("longer", "shorter"))).where("witness < line").distinct())
+    spelled = texts.select(order.alias("line"), F.split("plain", " ").alias("words"))
+    # Near copies are as long as their witness, so the broadcast ones are together no longer than HEAVY_KEYS average lines.
+    seen = joined(against, spelled.select(F.col("line").alias("witness"), F.col("words").alias("of")), ["witness"], heavy_keys(against, ["witness"], total))
+    checked = seen.join(spelled, "line").where(_within_one(F.col("words"), F.col("of")))
+    gone = checked.select(F.col("line.h1").alias("h1"), F.col("line.h2").alias("h2")).distinct().withColumn("near", F.lit(True))
+
+    facts = saved(repeated.drop("n").join(gone, ["h1", "h2"], "full"))
+    occurrences = told.select("doc", "tie", "pos", "h1", "h2")
+    busy = repeated.where(F.col("n") * HEAVY_KEYS > told.count()).select("h1", "h2")
+    hot = busy.collect()  # fewer than HEAVY_KEYS rows
+    judged = joined(occurrences, facts, ["h1", "h2"], docs.sparkSession.createDataFrame(hot, busy.schema) if hot else None)
+    goes = F.col("near") | (F.col("first") != where)
+    return judged.where(goes).groupBy("doc", "tie").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with their columns, text without the lines that dropped_lines() names, and n_lines and n_dropped.
 
-    A null text stays null and has no line; an empty text is one empty line, which stays. Of rows with equal ids, a line
-    counts as one document's: what the first holds goes from none of them, what an earlier document holds goes from all.
-    Rows with a null id come last in order and are one document. Lines keep their order and are joined by \\n.
+    A null text stays null and has no line; an empty text is one empty line, which stays, as all lines without words do. Rows
+    with equal ids and equal texts are one document: what the first holds goes from none of them, what an earlier document
+    holds goes from all. Rows with a null id come last in order. Lines keep their order and are joined by \\n. Other columns
+    stay as they are, but for columns named n_lines and n_dropped, which the results replace.
     """
-    gone = dropped_lines(docs, least_words).select(F.col("doc").alias("_doc"), F.col("drop").alias("_drop"))
-    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_doc"), "left")
+    gone = dropped_lines(docs, least_words)
+    drop = unused(docs, "_drop")
+    names = {c: unused(docs, f"_{c}") for c in ("doc", "tie")}
+    gone = gone.select(F.col("doc").alias(names["doc"]), F.col("tie").alias(names["tie"]), F.col("drop").alias(drop))
+    doc, tie = _row(docs)
+    both = docs.join(gone, (doc == gone[names["doc"]]) & (tie == gone[names["tie"]]), "left")
 
     def rest(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
         picked = bound(kept, lambda at: F.struct(F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).alias("n"), (F.size(lines) - F.size(at)).alias("dropped")))
-        whole = F.struct(F.col("text"), F.size(lines).alias("n"), F.lit(0).alias("dropped"))
-        return F.when(F.col("_drop").isNull(), whole).otherwise(picked)
+        whole = F.struct(F.col("text").cast("string").alias("text"), F.size(lines).alias("n"), F.lit(0).alias("dropped"))
+        return F.when(F.col(drop).isNull(), whole).otherwise(picked)
 
-    out = joined.withColumn("_rest", F.when(F.col("text").isNotNull(), bound(F.split(F.col("text"), "\n"), rest)))
-    columns = [F.col("_rest.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, *[F.coalesce(F.col(f"_rest.{c}"), F.lit(0)).cast("long").alias(name) for c, name in (("n", "n_lines"), ("dropped", "n_dropped"))])
+    kept = unused(docs, "_kept")
+    out = both.withColumn(kept, F.when(F.col("text").isNotNull(), bound(F.split(F.col("text").cast("string"), "\n"), rest)))
+    columns = [F.col(kept)["text"].alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*columns, *[F.coalesce(F.col(kept)[c], F.lit(0)).cast("long").alias(name) for c, name in (("n", "n_lines"), ("dropped", "n_dropped"))])

@@ -22,23 +22,21 @@ WITH line AS (
   SELECT doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)
 ), spelled AS MATERIALIZED (
-  SELECT doc_id, pos, line, {_words("line")} AS w, doc_id * 1000000 + pos AS ord FROM line
-), text_line AS MATERIALIZED (
-  SELECT line, any_value(w) AS w, min(ord) AS ord FROM spelled WHERE len(w) >= 5 GROUP BY line
+  SELECT *, array_to_string(w, ' ') AS said, min(ord) OVER (PARTITION BY array_to_string(w, ' ')) AS first
+  FROM (SELECT doc_id, pos, line, {_words("line")} AS w, doc_id * 1000000 + pos AS ord FROM line)
+), said_line AS MATERIALIZED (
+  SELECT said, any_value(w) AS w, min(ord) AS ord FROM spelled WHERE len(w) >= 5 GROUP BY said
 ), without AS MATERIALIZED (
-  SELECT line, ord, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') AS rest
-  FROM (SELECT line, ord, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM text_line)
-), whole AS (
-  SELECT array_to_string(w, ' ') AS rest, min(ord) AS ord FROM text_line GROUP BY 1
+  SELECT said, ord, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') AS rest
+  FROM (SELECT said, ord, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM said_line)
 ), shorter AS (
   SELECT rest, min(ord) AS ord FROM without GROUP BY rest
 ), gone AS (
-  SELECT line FROM (SELECT line, ord, min(ord) OVER (PARTITION BY n, i, rest) AS first FROM without) WHERE ord > first
-  UNION SELECT v.line FROM without v JOIN whole w USING (rest) WHERE w.ord < v.ord
-  UNION SELECT t.line FROM text_line t JOIN shorter s ON array_to_string(t.w, ' ') = s.rest WHERE s.ord < t.ord
+  SELECT said FROM (SELECT said, ord, min(ord) OVER (PARTITION BY n, i, rest) AS first FROM without) WHERE ord > first
+  UNION SELECT v.said FROM without v JOIN said_line w ON v.rest = w.said WHERE w.ord < v.ord
+  UNION SELECT t.said FROM said_line t JOIN shorter s ON t.said = s.rest WHERE s.ord < t.ord
 ), judged AS (
-  SELECT s.doc_id, s.pos, s.line, t.line IS NOT NULL AND (g.line IS NOT NULL OR s.ord <> t.ord) AS dropped
-  FROM spelled s LEFT JOIN text_line t ON s.line = t.line AND len(s.w) >= 5 LEFT JOIN gone g ON g.line = t.line
+  SELECT s.*, s.said <> '' AND (s.ord <> s.first OR g.said IS NOT NULL) AS dropped FROM spelled s LEFT JOIN gone g ON g.said = s.said
 ), told AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped) AS text
   FROM judged GROUP BY doc_id
@@ -74,13 +72,16 @@ FROM chosen JOIN summed USING (doc_id)
 
 
 OP5 = f"""
-WITH item AS (
-  SELECT item_id, {_shingles("w")} AS s FROM (SELECT item_id, {_words("lower(coalesce(text, ''))")} AS w FROM benchmark) WHERE w[1] <> ''
+WITH item_words AS (
+  SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {_words("lower(coalesce(text, ''))")} AS w FROM benchmark) WHERE w[1] <> ''
+), item AS (
+  SELECT item_id, k, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM item_words
 ), doc AS (
-  SELECT doc_id, {_shingles("w")} AS s FROM (SELECT doc_id, {_words("lower(coalesce(text, ''))")} AS w FROM documents) WHERE w[1] <> ''
+  SELECT doc_id, k, list_distinct(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM (SELECT doc_id, {_words("lower(coalesce(text, ''))")} AS w FROM documents), (SELECT DISTINCT k FROM item_words) WHERE w[1] <> ''
 )
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, count(*)::DOUBLE / n AS containment
-FROM (SELECT item_id, len(s) AS n, unnest(s) AS x FROM item) JOIN (SELECT doc_id, unnest(s) AS x FROM doc) USING (x)
+FROM (SELECT item_id, k, len(s) AS n, unnest(s) AS x FROM item) JOIN (SELECT doc_id, k, unnest(s) AS x FROM doc) USING (k, x)
 GROUP BY doc_id, item_id, n HAVING count(*) * 10 >= n * 8
 """
 
@@ -101,21 +102,33 @@ SELECT doc_id, len(any_value(s)) AS n_shingles, min(root) AS component_id, min(r
 """
 
 OP7 = """
-WITH told AS (
-  SELECT conv_id, floor(conv_id / 2)::BIGINT AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
-    coalesce(turn, CAST('-9223372036854775808' AS BIGINT)) AS ord, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+WITH spoken AS (
+  SELECT conv_id, coalesce(turn, CAST('-9223372036854775808' AS BIGINT)) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
+), answer AS (
+  SELECT conv_id, turn, max(text) AS text FROM spoken
+  WHERE role = 'assistant' AND turn = (SELECT max(turn) FROM spoken s WHERE s.conv_id = spoken.conv_id AND s.role = 'assistant') GROUP BY ALL
+), told AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM spoken
+  UNION ALL SELECT conv_id, 'rejected', turn, role, text FROM spoken WHERE NOT (role = 'assistant' AND (conv_id, turn) IN (SELECT (conv_id, turn) FROM answer))
+  UNION ALL SELECT a.conv_id, 'rejected', a.turn, 'assistant', b.text FROM answer a JOIN answer b ON b.conv_id = xor(a.conv_id, 1)
 ), heads AS (
-  SELECT pair_id, ord, list_sort(list(role || chr(1) || text) FILTER (side = 'chosen')) IS NOT DISTINCT FROM list_sort(list(role || chr(1) || text) FILTER (side = 'rejected')) AS same
-  FROM told GROUP BY pair_id, ord
+  SELECT pair_id, turn, list_sort(list(role || chr(1) || text) FILTER (side = 'chosen')) IS NOT DISTINCT FROM list_sort(list(role || chr(1) || text) FILTER (side = 'rejected')) AS same
+  FROM told GROUP BY pair_id, turn
 ), parted AS (
-  SELECT pair_id, min(ord) FILTER (NOT same) AS differs FROM heads GROUP BY pair_id
+  SELECT pair_id, min(turn) FILTER (NOT same) AS differs FROM heads GROUP BY pair_id
 ), said AS (
-  SELECT t.*, differs IS NULL OR ord < differs AS common, '<|' || role || '|>' || chr(10) AS head FROM told t JOIN parted USING (pair_id)
-), spelled AS (
-  SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM said WHERE NOT common OR side = 'chosen'
+  SELECT t.*, CASE WHEN differs IS NULL OR turn < differs THEN 'prompt' ELSE side END AS part, '<|' || role || '|>' || chr(10) AS head FROM told t JOIN parted USING (pair_id)
+), placed AS (
+  SELECT *, head || text || '<|end|>' || chr(10) AS segment,
+    coalesce(sum(length(head || text || '<|end|>' || chr(10))) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM said WHERE part <> 'prompt' OR side = 'chosen'
+), part AS (
+  SELECT pair_id, part, string_agg(segment, '' ORDER BY turn, role, text) AS text,
+    string_agg((start + length(head)) || '-' || (start + length(segment)), ',' ORDER BY turn, role, text) FILTER (part <> 'prompt' AND role = 'assistant') AS spans
+  FROM placed GROUP BY pair_id, part
 )
-SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE side END AS part, conv_id, turn, role, segment,
-  CASE WHEN NOT common AND role = 'assistant' THEN length(head) ELSE length(segment) END AS trained_from, length(segment) AS n_chars
-FROM spelled
+SELECT pair_id, 0::BIGINT AS piece, coalesce(max(text) FILTER (part = 'prompt'), '') AS prompt, coalesce(max(text) FILTER (part = 'chosen'), '') AS chosen, coalesce(max(text) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(max(spans) FILTER (part = 'chosen'), '') AS chosen_trained, coalesce(max(spans) FILTER (part = 'rejected'), '') AS rejected_trained
+FROM part GROUP BY pair_id
 """

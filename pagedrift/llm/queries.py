@@ -38,8 +38,7 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return chat_format.segments(turns, chat_format.parity_pairs(turns))
+    return chat_format.preferences(chat_format.swapped_answers(table(spark, sf_dir, "conversations")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

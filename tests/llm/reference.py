@@ -1,5 +1,6 @@
 """Brute-force versions of the operators, over lists of (doc_id, text)."""
 
+import hashlib
 import re
 
 _word = re.compile(r"[^\x20\x09-\x0d]+").findall
@@ -57,29 +58,87 @@ def within_one(a, b):
 
 def dropped(docs, least_words=5):
     """{doc_id: positions of dropped lines}; every line against every earlier distinct line of like length."""
-    first, gone, by_size, out = {}, set(), {}, {}
-    for d, text in sorted(docs):
+    first, gone, by_size, out = set(), set(), {}, {}
+    for d, text in sorted(docs, key=lambda x: (x[0], x[1] or "")):
         for i, line in enumerate((text or "").split("\n")):
-            w = _word(line)
-            if len(w) < least_words:
+            w = tuple(_word(line))
+            if not w:
                 continue
-            if line not in first:
-                first[line] = (d, i)
-                if any(within_one(w, x) for n in (len(w) - 1, len(w), len(w) + 1) for x in by_size.get(n, ())):
-                    gone.add(line)
-                by_size.setdefault(len(w), []).append(w)
-                if line not in gone:
+            if w not in first:
+                first.add(w)
+                if len(w) >= least_words:
+                    if any(within_one(w, x) for n in (len(w) - 1, len(w), len(w) + 1) for x in by_size.get(n, ())):
+                        gone.add(w)
+                    by_size.setdefault(len(w), []).append(w)
+                if w not in gone:
                     continue
             out.setdefault(d, []).append(i)
     return out
 
 
+def runs(text, k):
+    w = _word((text or "").lower())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
 def leaks(docs, items, containment=0.8):
-    sets = {i: shingles(t, str.lower) for i, t in items}
+    sets = {i: (k, runs(t, k)) for i, t in items for k in (min(5, len(_word((t or "").lower()))),) if k}
     out = {}
     for d, t in docs:
-        mine = shingles(t, str.lower)
-        for i, s in sets.items():
-            if s and (n := len(s & mine)) >= containment * len(s):
+        mine = {k: runs(t, k) for k in {k for k, _ in sets.values()}}
+        for i, (k, s) in sets.items():
+            if (n := len(s & mine[k])) >= containment * len(s):
                 out[d, i] = (len(s), n)
     return out
+
+
+def winnow(text, gram=8, most=64):
+    """[(hash, position)]: the rightmost least hash of each window, from the definition, in whole numbers."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * by & mask
+        return x ^ x >> 31
+
+    if not text:
+        return []
+    if len(text) < gram:
+        return [(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") >> 20, 0)]
+    points = [mix(ord(c) + 1) for c in text]
+    grams = []
+    for i in range(len(points) - gram + 1):
+        h = 0
+        for p in points[i : i + gram]:
+            h = (h * 0x9E3779B97F4A7C15 + p) & mask
+        grams.append(mix(h) >> 20)
+    window = 1
+    while window < most and window * 2 * 8 <= len(grams):
+        window *= 2
+    out, at = [], -1
+    for i in range(len(grams) - window + 1):
+        if at < i:
+            at = max(range(i, i + window), key=lambda k: (-grams[k], k))
+        elif grams[i + window - 1] <= grams[at]:
+            at = i + window - 1
+        if not out or out[-1][1] != at:
+            out.append((grams[at], at))
+    return out
+
+
+def fingerprint_rows(rows):
+    """For rows in order, each with the next: (n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+    show = lambda f: "".join(f"{h:016x}{p:08x}" for h, p in f)
+
+    def like(f, g):
+        a, b = {h for h, _ in f}, {h for h, _ in g}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    texts = [t or "" for t in rows]
+    found = [winnow(t) for t in texts]
+    for i, text in enumerate(texts):
+        after = (i + 1) % len(texts)
+        m = len(text) // 3
+        edited = text[: len(text) - m] + texts[after][:m]
+        f = winnow(edited)
+        yield len(text), hashlib.sha256(edited.encode()).hexdigest(), show(found[i]), show(f), like(found[i], f), like(found[i], found[after])

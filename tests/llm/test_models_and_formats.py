@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagedrift.llm import chat_format, html_extract, quality, toxicity
+from pagedrift.llm import chat_format, common, html_extract, quality, toxicity
 
 from . import reference
 from .test_text_operators import ODD, odd
@@ -130,23 +130,60 @@ def test_unended_scripts_run_to_the_end():
     assert [b.text for b in html_extract.blocks("<p>Before.</p><script>i<n <p>no text</p>")] == ["Before."]
 
 
-TURNS = [(0, 0, "system", "s"), (0, 1, "user", "q"), (0, 2, "assistant", "good"), (0, 3, "user", "more"), (1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "bad"),
-         (2, 0, "user", None), (3, 0, "user", ""), (5, 1, None, "alone"), (None, 0, "user", "x"), (7, None, "assistant", "z"), (6, None, "assistant", "z"), (6, 1, "assistant", "y"), (6, 1, "assistant", "y"), (7, 1, "assistant", "y")]
+BIG = 1 << 60
+SPOKEN = [
+    (0, "chosen", 0, "system", "s"), (0, "chosen", 1, "user", "q"), (0, "chosen", 2, "assistant", "good"), (0, "chosen", 3, "user", "more"),
+    (0, "rejected", 0, "system", "s"), (0, "rejected", 1, "user", "q"), (0, "rejected", 2, "assistant", "bad"),
+    (1, "chosen", 0, "user", None), (1, "rejected", 0, "user", ""), (2, "rejected", 1, None, "alone"), (None, "chosen", 0, "user", "x"), (2, None, 0, "user", "x"),
+    (3, "chosen", None, "assistant", "z"), (3, "rejected", None, "assistant", "z"), (3, "chosen", 1, "assistant", "y"), (3, "chosen", 1, "assistant", "y"), (3, "rejected", 1, "assistant", "y"),
+    (BIG, "chosen", 0, "user", "b"), (BIG + 1, "rejected", 0, "user", "b"),
+]
 
 
-def test_preference_pairs(spark):
-    df = spark.createDataFrame([(*t, "clash") for t in TURNS], "conv_id long, turn long, role string, text string, part string").drop("part")
-    found = chat_format.segments(df, chat_format.parity_pairs(df))
-    got = {r["pair_id"]: r for r in chat_format.assemble(found).collect()}
+def spoken(spark):
+    return spark.createDataFrame([(*t, "clash", 7) for t in SPOKEN], "pair_id long, side string, turn long, role string, text string, part string, differs int")
+
+
+def test_preference_records(spark):
+    found = chat_format.segments(spoken(spark)).cache()
+    got = {r["pair_id"]: r for r in chat_format.records(found).collect()}
     one = got[0]
+    spans = lambda r, part: [r[part][int(a) : int(b)] for x in r[f"{part}_trained"].split(",") if x for a, b in [x.split("-")]]
     assert one["prompt"] == "<|system|>\ns<|end|>\n<|user|>\nq<|end|>\n"
     assert one["chosen"] == "<|assistant|>\ngood<|end|>\n<|user|>\nmore<|end|>\n" and one["rejected"] == "<|assistant|>\nbad<|end|>\n"
-    assert [one["chosen"][a:b] for a, b in one["chosen_trained"]] == ["good<|end|>\n"]
-    assert [one["rejected"][a:b] for a, b in one["rejected_trained"]] == ["bad<|end|>\n"]
+    assert spans(one, "chosen") == ["good<|end|>\n"] and spans(one, "rejected") == ["bad<|end|>\n"]
     assert got[1]["prompt"] == "<|user|>\n<|end|>\n" and got[1]["chosen"] == got[1]["rejected"] == ""
-    assert got[2]["prompt"] == "" and got[2]["rejected"] == "<|unknown|>\nalone<|end|>\n" and got[2]["rejected_trained"] == []
-    assert got[3]["prompt"] == "<|assistant|>\nz<|end|>\n" and got[3]["chosen"].count("y") == 2
-    assert chat_format.segments(df.limit(0), chat_format.parity_pairs(df.limit(0))).count() == 0
+    assert got[2]["prompt"] == "" and got[2]["rejected"] == "<|unknown|>\nalone<|end|>\n" and got[2]["rejected_trained"] == ""
+    # The turn with two equal rows on one side and one on the other is a difference.
+    assert got[3]["prompt"] == "<|assistant|>\nz<|end|>\n" and spans(got[3], "chosen") == ["y<|end|>\n"] * 2 and spans(got[3], "rejected") == ["y<|end|>\n"]
+    assert got[BIG]["rejected"] == got[BIG + 1]["chosen"] == "" and got.keys() == {0, 1, 2, 3, BIG, BIG + 1}
+    assert chat_format.preferences(spoken(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limits", [(20, 2000), (1 << 24, 2)])
+def test_long_preference_pairs_come_in_pieces(spark, limits):
+    found = chat_format.segments(spoken(spark)).cache()
+    whole = {r["pair_id"]: r for r in chat_format.records(found).collect()}
+    pieces = sorted(chat_format.records(found, *limits).collect(), key=lambda r: (r["pair_id"], r["piece"]))
+    assert len(pieces) > len(whole)
+    trained = lambda r, part: "".join(r[part][int(a) : int(b)] for x in r[f"{part}_trained"].split(",") if x for a, b in [x.split("-")])
+    for pair, r in whole.items():
+        mine = [p for p in pieces if p["pair_id"] == pair]
+        for part in ("prompt", "chosen", "rejected"):
+            assert "".join(p[part] for p in mine) == r[part]
+        for part in ("chosen", "rejected"):
+            assert "".join(trained(p, part) for p in mine) == trained(r, part)
+
+
+def test_swapped_answers(spark, monkeypatch):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "t"), (1, 0, "user", "r"), (1, 1, "assistant", "b"), (1, 3, "assistant", "c"), (2, 0, "user", "x"), (3, 0, "assistant", None), (4, 1, "assistant", "lone"), (BIG, 0, "assistant", "u"), (BIG + 1, 0, "assistant", "v"), (None, 0, "assistant", "n")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, last string")
+    for keys in (1000, 3):
+        monkeypatch.setattr(chat_format, "heavy_keys", lambda rows, on, total, k=keys: common.heavy_keys(rows, on, total, k))
+        got = sorted((r["pair_id"], r["turn"], r["role"], r["text"]) for r in chat_format.swapped_answers(df).where("side = 'rejected'").collect())
+        assert got == [(0, 0, "user", "q"), (0, 1, "assistant", "c"), (0, 2, "user", "t"), (1, 0, "user", "r"), (1, 1, "assistant", "b"), (1, 3, "assistant", "a"), (2, 0, "user", "x"), (BIG, 0, "assistant", "v"), (BIG + 1, 0, "assistant", "u")]
+        prompts = {r["pair_id"]: r["prompt"] for r in chat_format.preferences(chat_format.swapped_answers(df)).collect()}
+        assert prompts[0] == "<|user|>\nq<|end|>\n" and prompts[1].endswith("b<|end|>\n") and prompts[4] == ""
 
 
 def test_pipeline_stages(spark):

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from pagedrift.llm import bpe, decontam, fingerprint, line_dedup, near_dup, sharding
+from pagedrift.llm import bpe, common, decontam, fingerprint, line_dedup, near_dup, sharding
 
 from . import reference
 
@@ -61,6 +61,50 @@ def test_line_dedup_repeated_rows_and_empty_table(spark):
     assert line_dedup.dedup(odd(spark).limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Buy now\n\nBuy  now\tthen\nYes\n \nBuy now"), (2, "  Buy now \nYes\nno\n\nYES"), (3, "no")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("Buy now\n\nBuy  now\tthen\nYes\n ", 1), 2: ("no\n\nYES", 2), 3: ("", 1)}
+
+
+def test_line_dedup_of_repeated_ids_with_other_texts(spark):
+    rows = [(1, "first of all\nkept here"), (1, "other words\nkept there"), (None, "first of all\nnull one"), (None, "null two\nfirst of all"), (None, None)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["text"] or "", r["n_dropped"]) for r in got) == [("", 0), ("first of all\nkept here", 0), ("null one", 1), ("null two", 1), ("other words\nkept there", 0)]
+
+
+def test_line_dedup_of_spellings_and_witness_chains(spark):
+    words = "one two three four five six".split()
+    spelled = [(i, " " * (i % 3) + (" " * (1 + i // 3)).join(words)) for i in range(30)]
+    longer = [(100 + i, " ".join([*words, f"x{i}"])) for i in range(40)]
+    # c is near b only, and b near a: both go, for a line that goes is still a witness.
+    chain = [(200, "a b c d e f"), (201, "a b c d e g"), (202, "a b c d h g")]
+    rows = spelled + longer + chain
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup(df).where("n_dropped = 0").collect()} == {0, 200}
+    want = reference.dropped(rows)
+    assert {d: [0] for d in {d for d, _ in rows} - {0, 200}} == want
+
+
+def test_line_dedup_with_hot_lines_variants_and_witnesses(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "heavy_keys", lambda rows, on, total: common.heavy_keys(rows, on, total, 20))
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(60)]
+    rows = [(d, "\n".join(["a line that all documents share", "short", f"variant number {d % 50} of one long line", *(" ".join(rng.choice(vocabulary, int(rng.integers(1, 8)))) for _ in range(4))])) for d in range(150)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = reference.dropped(rows)
+    for d, t in rows:
+        assert got[d]["text"] == kept_text(t, want.get(d, [])), d
+
+
+def test_line_dedup_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b\na b", "x", 7, "y", 8, 9)], "doc_id long, text string, _doc string, n_lines long, _drop string, _kept int, tie int")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", "_doc", "_drop", "_kept", "tie", "n_lines", "n_dropped"]
+    assert tuple(out.first()) == (1, "a b", "x", "y", 8, 9, 2, 1)
+
+
 def test_line_dedup_group_of_one_word_variants(spark):
     rows = [(i, f"every copy says number {i} and no more") for i in range(300)]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -140,6 +184,15 @@ def test_decontamination_of_short_items_in_long_documents(spark):
     assert got == reference.leaks(docs, items) and (200, 100) in got and len(got) == 61
 
 
+def test_decontamination_of_items_under_five_words(spark):
+    items = [(1, "the capital of france"), (2, "Paris"), (3, "forty two"), (4, "one two three four five"), (5, "two, three"), (6, " ")]
+    docs = [(1, "what is The capital  of France today and tomorrow"), (2, "not the capital of spain, nor parish"), (3, "so\nparis it is " + "and on " * 3000 + "forty\ttwo"), (4, "zero one two three four five six"), (5, "forty"), (6, None)]
+    frames = [spark.createDataFrame(rows, f"{k}_id long, text string, _doc string") for k, rows in (("doc", [(*r, "clash") for r in docs]), ("item", [(*r, "clash") for r in items]))]
+    got = {(r["doc_id"], r["item_id"]): (r["n_shingles"], r["n_found"]) for r in decontam.leaks(*frames).collect()}
+    assert got == reference.leaks(docs, items) == {(1, 1): (1, 1), (3, 2): (1, 1), (3, 3): (1, 1), (4, 4): (1, 1)}
+    assert {r["doc_id"] for r in decontam.clean(*frames).collect()} == {2, 5, 6}
+
+
 def test_decontamination_amid_repeated_shingles(spark):
     items, docs = [], []
     for i in range(120):
@@ -189,12 +242,11 @@ def test_bpe_splits_and_merges_as_the_library_does(encoder):
         assert bpe.merged(t.encode(), ranks) == encoder.encode_ordinary(t)
 
 
-def test_bpe_of_repeated_rows_long_texts_small_chunks_and_hot_words(spark, encoder, monkeypatch):
-    # Closures are pickled by reference to the module, so the chunk size of workers stays; many partitions make many chunks.
+def test_bpe_of_repeated_rows_long_texts_and_many_parts(spark, encoder, monkeypatch):
     texts = ["same words again and again"] * 30 + [" ".join(f"w{i} again" for i in range(300)), "y" * 50_000, None, ""]
     rows = [(i % 20 if i % 7 else None, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(17)
-    monkeypatch.setattr(bpe, "HEAVY_KEYS", 40)
+    monkeypatch.setattr(bpe, "PART_BYTES", 500)
     got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(df, PATH, public_tokenizers.PATTERN).collect())
     want = []
     for d, t in rows:
@@ -203,42 +255,45 @@ def test_bpe_of_repeated_rows_long_texts_small_chunks_and_hot_words(spark, encod
     assert got == sorted(want)
 
 
-def test_fingerprints(spark):
-    for df in (docs_of(spark), odd(spark)):
-        rows = sorted(listed(df), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1] or ""))
-        got = {r["doc_id"]: r for r in fingerprint.fingerprints(df).collect()}
+def told(r):
+    return r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], pytest.approx(r["near_edited"]), pytest.approx(r["near_next"])
+
+
+def test_fingerprints(spark, monkeypatch):
+    for df, size in ((docs_of(spark), 24 << 20), (docs_of(spark), 20_000), (odd(spark), 2_000)):
+        monkeypatch.setattr(fingerprint, "RANGE_BYTES", size)
+        rows = sorted(listed(df), key=lambda r: -(r[0] if r[0] is not None else -1))
+        got = {r["doc_id"]: told(r) for r in fingerprint.fingerprints(df).collect()}
         assert len(got) == len(rows)
-        for i, (d, t) in enumerate(rows):
-            t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
-            m = len(t) // 3
-            edited = t[: len(t) - m] + after[:m]
-            r = got[d]
-            assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-            a, b, c = (fingerprint.winnow(x) for x in (t, edited, after))
-            assert r["fingerprint"] == fingerprint.written(*a) and r["edited_fingerprint"] == fingerprint.written(*b)
-            assert r["near_edited"] == pytest.approx(fingerprint.likeness(set(a[0].tolist()), set(b[0].tolist())))
-            assert r["near_next"] == pytest.approx(fingerprint.likeness(set(a[0].tolist()), set(c[0].tolist())))
+        for (d, _), want in zip(rows, reference.fingerprint_rows([t for _, t in rows]), strict=True):
+            assert want == got[d], d
     one = spark.createDataFrame([(1, "alone and long enough for some grams to be picked")], "doc_id long, text string")
     assert [r["near_next"] for r in fingerprint.fingerprints(one).collect()] == [1.0]
     assert fingerprint.fingerprints(one.limit(0)).count() == 0
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 300)
+    rows = [(None, f"nobody owns text number {i} of these") for i in range(60)] + [(5, "the same row twice, word for word")] * 2 + [(5, f"another text {i} under five") for i in range(30)] + [(9, "last"), (7, None), (-3, "below")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, part string, tie int").repartition(5)
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(1 << 63), tie[r[1]]), reverse=True)
+    want = sorted((str(d), *x) for (d, _), x in zip(order, reference.fingerprint_rows([t for _, t in order]), strict=True))
+    got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprint.fingerprints(df).collect())
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:]) for w in want]
+    # Rows of one id are in several ranges.
+    bounds = fingerprint.Bounds([0, 5, 5, 5, 9])
+    assert len(set(bounds.ranges(np.full(1000, 5), np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 1000)).tolist())) == 3
+    assert bounds.ranges(np.array([-9, 0, 3, 9, 10]), np.zeros(5, np.int64)).tolist() == [0, 1, 1, 5, 5]
+
+
 def test_winnowing_picks_the_rightmost_minimum_of_every_window():
     rng = np.random.default_rng(4)
-    for n in (0, 1, 31, 32, 40, 95, 96, 500, 3000):
+    for n in (0, 1, 7, 8, 31, 40, 95, 96, 500, 3000):
         text = "".join(rng.choice(list("ab"), n))
-        h, p = fingerprint.winnow(text, 4, 8)
-        if n < 4:
-            assert len(p) == (n > 0)
-            continue
-        g = fingerprint._grams(np.frombuffer(text.encode("utf-32-le"), np.uint32), 4) >> np.uint64(20)
-        w = min(8, len(g))
-        want = []
-        for i in range(len(g) - w + 1):
-            j = max(range(i, i + w), key=lambda k: (-int(g[k]), k))
-            if not want or want[-1] != j:
-                want.append(j)
-        assert p.tolist() == want and h.tolist() == [int(g[j]) for j in want]
+        h, p = fingerprint.winnow(text)
+        assert list(zip(h.tolist(), p.tolist(), strict=True)) == reference.winnow(text)
 
 
 def test_winnowing_in_chunks(monkeypatch):
