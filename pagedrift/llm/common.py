@@ -109,6 +109,7 @@ def label_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     Rows with a null id or label are left out; of repeated ids the larger label counts.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label)
     return (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import held_out, label_sample
+from pagedrift.llm.common import cut, held_out, label_sample
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -133,9 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     empty, all rows serve for both. What reaches the driver is bounded by the sample, not by the corpus.
     """
     sample = F.broadcast(label_sample(labels, label, most))
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("y", "text", "fold")
-    from pagedrift.llm.common import cut
-
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("y", "text", "fold")
     measured = cut(joined.mapInArrow(_measured, "y int, fold int, x array<double>"))
     rows = measured.collect()
     if not rows:
@@ -173,10 +171,10 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mos
     """Score every whole text of docs(doc_id, text): doc_id, held_out, score, predicted.
 
     Only the text makes a score. Empty and null texts get the score of an empty text; without any usable label all scores
-    are 0.5. Rows with equal texts get equal scores; an empty table gives an empty result.
+    are 0.5. Rows with equal texts get equal scores; an empty table gives an empty result; other columns play no part.
     """
     model = fit(docs, labels, most=most)
-    rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scored(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
