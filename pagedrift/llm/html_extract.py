@@ -22,8 +22,8 @@ _end_of = functools.cache(lambda tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I)
 
 #: Fixed values of HTML: elements without an end, elements whose content is no text, inline elements, implied ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg iframe object textarea select title canvas math".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("script style template svg iframe textarea select title".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow msqrt msub msup mtext q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Of the silent elements, those that HTML reads as bare text up to their end tag, or to the page's end without one.
 BARE = frozenset("script style iframe textarea title".split())
@@ -202,7 +202,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate
     return Crf({x: (float(w[i, 0]), float(w[i, 1])) for x, i in index.items()}, t)
 
 
-def labelled_pages(n: int = 240, seed: int = 3) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[str, list[str]]]:
     """Generated pages and the blocks of their main text: many layouts, all kinds of boilerplate before, amid and after it."""
     r = random.Random(seed)
     syllables = "ba be bi bo da de do ka ke ki la le lo ma me mi na ne no ra re ro sa se so ta te ti va ve un er an on st tion".split()
@@ -215,7 +215,9 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[tuple[str, list[str]]]:
     any_text = lambda: r.choice([say(8), few(), prose(), f"<p>{prose()}</p>"])
 
     def mess() -> str:
-        kind = r.randrange(11)
+        kind = r.randrange(12)
+        if kind == 11:
+            return r.choice(["<noscript>{}</noscript>", "<object>{}</object>", "<noscript><p>{}</p></noscript>"]).format(any_text())
         if kind == 0:
             return r.choice(["<nav>{}</nav>", '<div class="menu">{}</div>', '<div id="nav">{}</div>', '<ul class="breadcrumb">{}</ul>']).format(links())
         if kind == 1:
@@ -273,7 +275,7 @@ def label(page: list[Block], main: list[str]) -> list[int]:
 
 @functools.lru_cache(maxsize=1)
 def trained() -> Crf:
-    """The model fitted on labelled_pages(); about two seconds, once in a driver."""
+    """The model fitted on labelled_pages(); some seconds, once in a driver."""
     coded = []
     for page, main in labelled_pages():
         found = blocks(page)
@@ -299,7 +301,11 @@ def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """Main text of every row of pages(page_id, url, html): page_id, url, text, n_chars.
 
     A null or empty page has an empty text. Rows are independent: repeated rows give repeated results and an empty table
-    an empty one. There is no shuffle.
+    an empty one; other columns play no part. There is no shuffle.
+
+    A script, style, frame, text area or title without an end tag runs to the page's end, as in browsers; any other element
+    without one ends with an element around it, or with the page. Pages of any length and depth are read in one pass without
+    recursion. Formulas are text of their paragraph.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract(model or trained()), "page_id long, url string, text string, n_chars long")

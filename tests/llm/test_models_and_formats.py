@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy, page extraction and chat formatting, and the pipeline's stages."""
 
+import itertools
 import math
 import re
 
@@ -179,13 +180,56 @@ def test_odd_pages(spark):
 
 @pytest.mark.parametrize("silent", [
     "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if (a<b) g();</SCRIPT >", "<script>s = '<p>\"<b';</script><script>x<y</script>", "<style>/* a<b \" */</style>",
-    "<script>t = '</scripted>';i<n</script\n>", "<noscript><img alt='a<b'></noscript>", "<svg><path d='M0'>", "<select><option>", "<script src='x'/>",
+    "<script>t = '</scripted>';i<n</script\n>", "<noscript><img alt='a<b'></noscript>", "<object data='x'></object>", "<canvas></canvas>", "<svg><path d='M0'>", "<select><option>", "<script src='x'/>", "<select><option>a</select>",
 ])
 def test_silent_elements_leave_the_article(silent):
     page = f"<body>{silent}<article><p>First words.</p><p>Second words.</p></article></body>"
     assert [b.text for b in html_extract.blocks(page)] == ["First words.", "Second words."]
 
 
+def test_formulas_fallbacks_and_unended_elements_keep_the_text():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>") == ["Let x=2 hold."]
+    for tag in ("object", "noscript", "canvas", "details", "b", "span", "a", "li", "table"):
+        assert texts(f"<p>First.</p><{tag}><p>Second.</p><p>Third.</p>") == ["First.", "Second.", "Third."], tag
+        assert texts(f"<p>First.</p><{tag}><p>Second.</p><{tag}>x</{tag}><p>Third.</p>") == ["First.", "Second.", "x", "Third."], tag
+    deep = "<div>" * 20_000 + "<p>Deep.</p>" + "</div>" * 20_000
+    assert texts(deep) == ["Deep."]
+
+
+def test_viterbi_finds_the_best_sequence_of_all():
+    rng = np.random.default_rng(5)
+    for n in range(1, 9):
+        for _ in range(20):
+            model = html_extract.Crf({f"f{i}": tuple(rng.normal(0, 2, 2)) for i in range(5)}, rng.normal(0, 2, (2, 2)))
+            feats = [[f"f{i}" for i in rng.choice(7, 3)] for _ in range(n)]
+
+            def score(path):
+                e = model.emissions(feats)
+                return sum(e[i, s] for i, s in enumerate(path)) + sum(model.moves[a, b] for a, b in zip(path, path[1:]))  # noqa: B023
+
+            assert score(model.decode(feats)) == pytest.approx(max(map(score, itertools.product((0, 1), repeat=n))))
+
+
+def test_crf_gradient_raises_the_likelihood():
+    rng = np.random.default_rng(6)
+    pages = []
+    for _ in range(30):
+        y = (rng.random(6) < 0.5).astype(int).tolist()
+        pages.append(([[f"s{s}" if rng.random() < 0.8 else "noise"] for s in y], y))
+
+    def likelihood(model):
+        total = 0.0
+        for f, y in pages:
+            e = model.emissions(f)
+            value = lambda p: sum(e[i, s] for i, s in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023,E731
+            total += value(y) - np.logaddexp.reduce([value(p) for p in itertools.product((0, 1), repeat=len(y))])
+        return total
+
+    values = [likelihood(html_extract.train(pages, epochs=k, rate=0.05)) for k in (0, 1, 4, 16)]
+    assert values == sorted(values) and values[-1] > values[0] + 10
+
+
 def test_unended_scripts_run_to_the_end():
     assert [b.text for b in html_extract.blocks("<p>Before.</p><script>i<n <p>no text</p>")] == ["Before."]
 
