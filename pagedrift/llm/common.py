@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Keys that count as hot, at most: those with more than this share of all rows.
 HEAVY_KEYS = 1000
+#: Rows of a table below which no key of it is hot.
+HEAVY_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 def heavy_keys(rows: DataFrame, on: list[str], total: int, most: int = HEAVY_KEYS) -> DataFrame | None:
     """The keys that more than total / most of at most `total` rows bear, fewer than `most` by arithmetic; None if there are none."""
+    if total < HEAVY_ROWS:
+        return None
     found = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") * most > total).select(*on)
     keys = found.collect()
     return rows.sparkSession.createDataFrame(keys, found.schema) if keys else None

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pagedrift.llm.common import cut
+from pagedrift.llm.common import HEAVY_KEYS, HEAVY_ROWS, cut, heavy_keys, joined, parts_for, saved, unused
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -17,10 +18,15 @@ SHINGLE = 5
 #: 2 * COLLECTIONS * ROWS minhashes serve COLLECTIONS ** 2 tables of 2 * ROWS rows. Sets of similarity J meet in a table
 #: with probability (1 - (1 - J ** ROWS) ** COLLECTIONS) ** 2: 0.99998 for 0.85, 0.08 for 0.3, 0.00014 for 0.1.
 COLLECTIONS, ROWS = 12, 3
+#: Of the keys of both collections, those that two documents must share to be compared. Sets of similarity 0.85 share fewer
+#: with a chance of 0.000001, of 0.8 with 0.0001.
+AGREEING = 4
 #: Members of a bucket whose pairs are listed; larger buckets are compared in blocks.
 PAIRED = 16
-#: Documents of a block.
-BLOCK = 512
+#: Documents of a block, and shingles of them, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Table keys that a task makes, in bytes.
+TABLE_BYTES = 32 << 20
 #: Text that is shingled at once, in bytes.
 SLAB_BYTES = 1 << 20
 
@@ -142,51 +148,49 @@ def _tensored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both.reshape(-1).astype(np.int64)), pa.array(ids, pa.int64())], ["key", "id"])
 
 
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many keys each row of a shares with each row of b."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for i in range(a.shape[1]):
+        out += a[:, i, None] == b[None, :, i]
+    return out
+
+
 def _compare_blocks(percent: int):
-    """Links of a spanning forest of the documents of two blocks, or of one, whose sets are similar enough."""
+    """Links of a spanning forest of the documents of two blocks of a bucket, or of one, whose sets are similar enough.
+
+    Pairs that are in one component already, share too few keys or differ too much in size are passed over; the sets of the
+    others are compared, the likeliest first, unless the links before have connected them.
+    """
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = np.array(group.column("id"))
-        side = np.array(group.column("side"))
-        # An id may stand for several sets: each is a row, and a link of any joins the id.
-        own, doc = np.unique(ids, return_inverse=True)
-        lists = group.column("shingles").combine_chunks()
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array(lists.flatten())
-        rows = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, rows = flat[order], rows[order]
-        heads = np.concatenate(([True], flat[1:] != flat[:-1]))
-        col = np.cumsum(heads) - 1
-        many = np.bincount(col) > 1
-        rank = np.cumsum(many) - 1
-        keep = many[col]
-        rows, col = rows[keep], rank[col[keep]]
-        a = np.arange(len(ids)) if (side == 0).all() else np.flatnonzero(side == 0)
-        b = a if len(a) == len(ids) else np.flatnonzero(side == 1)
-        inter = np.zeros((len(a), len(b)), np.float32)
-        n = int(many.sum())
-        for start in range(0, n, 4096):
-            pick = (col >= start) & (col < start + 4096)
-            dense = np.zeros((len(ids), min(4096, n - start)), np.float32)
-            dense[rows[pick], col[pick] - start] = 1
-            inter += dense[a] @ dense[b].T
-        place = np.arange(len(own))
-
-        def root(x):
-            while place[x] != x:
-                place[x] = place[place[x]]
-                x = place[x]
-            return x
+        ids, side, known = (np.array(group.column(c), np.int64) for c in ("id", "side", "component"))
+        keys = np.array(group.column("keys").combine_chunks().flatten(), np.int64).reshape(len(ids), 2 * COLLECTIONS)
+        sets = [np.array(x.values, np.int64) for x in group.column("shingles").combine_chunks()]
+        size = np.array([len(x) for x in sets], np.int64)
+        a = np.flatnonzero(side == side.min())
+        b = np.flatnonzero(side == side.max())
+        near = _agreeing(keys[a], keys[b])
+        low, high = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
+        x, y = np.nonzero((near >= AGREEING) & (known[a][:, None] != known[b][None, :]) & (100 * low >= percent * high))
+        parent: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while (up := parent.get(k, k)) != k:
+                parent[k] = parent.get(up, up)
+                k = up
+            return k
 
         out = []
-        union = sizes[a][:, None] + sizes[b][None, :] - inter.astype(np.int64)
-        for i, j in zip(*np.nonzero(100 * inter.astype(np.int64) >= percent * union), strict=True):
-            x, y = root(doc[a[i]]), root(doc[b[j]])
-            if x != y:
-                place[max(x, y)] = min(x, y)
-                out.append((int(ids[a[i]]), int(ids[b[j]])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        for i in np.argsort(-near[x, y].astype(np.int64), kind="stable").tolist():
+            p, q = int(a[x[i]]), int(b[y[i]])
+            r, t = root(int(known[p])), root(int(known[q]))
+            if r != t:
+                both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if 100 * both >= percent * (size[p] + size[q] - both):
+                    parent[r] = t
+                    out.append((int(ids[p]), int(ids[q])))
+        return pa.table({"a": pa.array([v for v, _ in out], pa.int64()), "b": pa.array([w for _, w in out], pa.int64())})
 
     return compare
 
@@ -195,14 +199,16 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (id, root), root the smallest id reachable, for every id of an edge.
 
     Rounds of large-star and small-star; each cuts its lineage with a checkpoint. A star is joined to its centre's least
-    neighbour by a join on the centre, so no neighbourhood is gathered in one place.
+    neighbour by a join on the centre, by broadcast for centres of very many neighbours, so no neighbourhood is gathered in
+    one place.
     """
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        busy = heavy_keys(both, ["u"], 2 * n)
         if not large:
             both = both.where("v < u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.join(least, "u")
+        moved = joined(both, least, ["u"], busy)
         if large:
             out = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -216,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     now = state(edges)
     while now[0]:
-        edges = cut(star(star(edges, True), False))
+        edges = cut(star(cut(star(edges, True, now[0])), False, now[0]))
         before, now = now, state(edges)
         if before == now:
             break
@@ -237,52 +243,106 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     with nothing. Rows with a null doc_id link nothing: component_id is null and kept true. Rows with equal ids are equal
     documents if their texts' sets are; else each is a row of its own under the id, which joins their components.
 
-    Documents with equal sets are one representative from the start, so a group of copies costs one row. Buckets of at
-    most PAIRED representatives list their pairs. The representatives of larger buckets are connected into families and
-    compared within a family block against block; a task holds two blocks and returns a spanning forest, so pairs of a
-    large family are compared, without loss, but never written.
+    Other columns play no part.
+
+    Documents with equal sets are one representative from the start, so a group of copies costs one row. In each bucket every
+    representative is first compared with the least one, its centre: as many pairs as rows, and enough to connect families of
+    near copies. Only buckets in which some member isn't in its centre's component are looked at again, once for equal
+    members, and only for pairs of members of two components: listed in buckets of at most PAIRED members, and in larger ones
+    block against block of the bucket, in tasks that return a spanning forest. So pairs of a large family are neither all
+    compared nor written, and documents that never met in a bucket aren't compared.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = cut(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"))
-    same = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = same.select(F.col("rep").alias("doc_id"), "h1", "h2", "n_shingles")
-    keyed = sketch.select("doc_id", "h1", "h2", "n_shingles", "keys").join(reps, ["doc_id", "h1", "h2", "n_shingles"]).dropDuplicates(["doc_id", "h1", "h2"])
-    buckets = keyed.select("doc_id", "keys").mapInArrow(_tensored, "key long, id long")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("n > 1 AND least < most")
-    met = cut(buckets.join(shared, "key").select("key", "id", "n", "least"))
-    few = met.where(f"n <= {PAIRED}")
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    n_of = same.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_least"))
-    size = lambda c: n_of.select(F.col("id").alias(c), F.col("n").alias(f"{c}_most"), F.col("n_least").alias(f"{c}_least"))
-    pairs = cut(pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * a_most >= {percent} * b_least AND 100 * b_most >= {percent} * a_least").select("a", "b"))
-    large = met.where(f"n > {PAIRED}")
-    family = components(large.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(family.select("id")).distinct())
-    sets = cut(_narrow(rows, wanted).mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "id"))
-    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    linked = pairs.join(a, "a").join(b, "b").where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
-
-    counts = family.groupBy("root").agg(F.count("*").alias("members"))
-    blocks = family.join(counts, "root").withColumn("of", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-    placed = blocks.select("id", "root", "block", other).select("id", "root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    forest = placed.join(sets, "id").groupBy("root", "x", "y").applyInArrow(_compare_blocks(percent), "a long, b long")
-    root = components(linked.union(forest))
+    sketch = saved(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"))
+    name = ["h1", "h2", "n_shingles"]
+    some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    same = saved(some.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    reps = same.select(F.col("rep").alias("doc_id"), *name)
+    known = saved(some.join(reps, ["doc_id", *name]).dropDuplicates(["doc_id", *name]).select(F.col("doc_id").alias("id"), "n_shingles", "keys"))
+    n_tasks = parts_for(known.count() * COLLECTIONS**2 * 16, TABLE_BYTES)
+    buckets = known.select("id", "keys").repartition(n_tasks).mapInArrow(_tensored, "key long, id long")
+    in_order = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = saved(buckets.select("key", "id", F.min("id").over(in_order).alias("centre")).where("id <> centre"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of pairs(a, b) those that share enough keys and are of like enough size."""
+        side = lambda c: known.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("keys").alias(f"k{c}"))
+        both = joined(pairs, side("a"), ["a"], heavy_keys(pairs, ["a"], pairs.count())).join(side("b"), "b")
+        shared = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda same: same))
+        return both.where((shared >= AGREEING) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs(a, b) those whose whole sets are similar enough."""
+        pairs = saved(pairs)
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = sets_of(wanted)
+        first, second = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        inter = F.size(F.array_intersect("sa", "sb"))
+        # Sets of a pair are of like size, so the broadcast sets of hot centres are a thousandth of what all pairs ship.
+        both = joined(pairs, first, ["a"], heavy_keys(pairs, ["a"], pairs.count())).join(second, "b")
+        return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return saved(_narrow(rows, cut(wanted)).mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "id"))
+
+    pairs = saved(met.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    root = components(confirmed(alike(pairs)))
+    rest = _unsettled(met, pairs, root)
+    if rest is not None:
+        few = rest.where(F.col("n") <= PAIRED)
+        other = few.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
+        listed = few.select("key", F.col("id").alias("a"), "component").join(other, "key").where("a < b AND component <> other").select("a", "b").distinct()
+        links = confirmed(alike(saved(listed.join(pairs, ["a", "b"], "left_anti"))))
+        large = rest.where(F.col("n") > PAIRED).join(known, "id")
+        if not large.isEmpty():
+            sizes = large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("of"))
+            blocks = saved(large.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
+            other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
+            placed = blocks.select("key", "id", "component", "keys", "block", other).select("key", "id", "component", "keys", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+            met_blocks = placed.join(sets_of(blocks.select(F.col("id").alias("doc_id")).distinct()), "id")
+            links = links.union(met_blocks.groupBy("key", "x", "y").applyInArrow(_compare_blocks(percent), "a long, b long"))
+        root = components(links.union(root.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    total = sketch.count()
+    busy = same.where(F.col("copies") * HEAVY_KEYS > total).select(*name)
+    hot = busy.collect() if total >= HEAVY_ROWS else []  # fewer than HEAVY_KEYS rows
+    busy = sketch.sparkSession.createDataFrame(hot, busy.schema) if hot else None
+    own = joined(sketch.select("doc_id", *name), same.drop("copies"), name, busy, "left")
     # A document's id may stand for several sets; all of them hang on its id.
-    hang = sketch.join(same, ["h1", "h2", "n_shingles"]).where("n_shingles > 0 AND rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = sketch.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
     if repeated:
+        hang = own.where("n_shingles > 0 AND rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         root = components(hang.union(root.select(F.col("id").alias("a"), F.col("root").alias("b"))))
-        return sketch.join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
-    own = sketch.select("doc_id", "n_shingles", "h1", "h2").join(same, ["h1", "h2", "n_shingles"], "left")
-    found = own.join(root.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
-    found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        return sketch.select("doc_id", "n_shingles").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    own = own.withColumn("rep", F.coalesce("rep", "doc_id"))
+    named = root.withColumnRenamed("id", "rep")
+    rep = same.where(F.col("copies") * HEAVY_KEYS > total).select("rep")
+    found = joined(own, named, ["rep"], own.sparkSession.createDataFrame(rep.collect(), rep.schema) if hot else None, "left")
+    found = found.withColumn("component_id", F.coalesce("root", "rep"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _unsettled(met: DataFrame, pairs: DataFrame, root: DataFrame) -> DataFrame | None:
+    """Members of buckets that the comparison with centres leaves open: key, id, component, n (members); None if there are none.
+
+    Such a bucket has three members at least, and one that isn't in its centre's component. Of buckets with equal members one
+    stands for all.
+    """
+    place = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"of_{c}"))
+    told = joined(pairs, place("a"), ["a"], heavy_keys(pairs, ["a"], pairs.count()), "left").join(place("b"), "b", "left")
+    told = told.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+    rows = met.join(told.select(F.col("a").alias("centre"), F.col("b").alias("id"), "of_a", "of_b"), ["centre", "id"])
+    rows = saved(rows)
+    h = F.xxhash64("id")
+    facts = rows.groupBy("key", "centre").agg((F.count("*") + 1).alias("n"), F.max(F.col("of_a") != F.col("of_b")).alias("open"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("s"))
+    open_ = saved(facts.where("open AND n > 2").groupBy("centre", "n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"))
+    if open_.isEmpty():
+        return None
+    members = rows.select("key", "id", F.col("of_b").alias("component")).union(rows.select("key", "centre", "of_a").distinct())
+    return saved(members.join(open_, "key").select("key", "id", "component", "n").distinct())
+
+
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that classes() keeps, with all their columns."""
-    kept = classes(docs, percent).where("kept").select(F.col("doc_id").alias("_kept"))
-    on = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    return docs.join(kept.distinct(), on, "left_semi")
+    """The rows of docs that classes() keeps, with all their columns. Rows with equal ids go or stay together."""
+    name = unused(docs, "_kept")
+    kept = classes(docs, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[name]), "left_semi")

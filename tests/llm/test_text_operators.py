@@ -87,6 +87,7 @@ def test_line_dedup_of_spellings_and_witness_chains(spark):
 
 
 def test_line_dedup_with_hot_lines_variants_and_witnesses(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 0)
     monkeypatch.setattr(line_dedup, "HEAVY_KEYS", 20)
     monkeypatch.setattr(line_dedup, "heavy_keys", lambda rows, on, total: common.heavy_keys(rows, on, total, 20))
     rng = np.random.default_rng(8)
@@ -149,6 +150,62 @@ def test_near_duplicates_of_a_repeated_id_in_a_large_bucket(spark):
     assert len(got) == len(rows) and {r["component_id"] for r in got} == {0}
 
 
+def boilerplate_chain(n=240, parts=60):
+    """Documents that each share a part with the next ones only, in a chain, and with no document nearly all."""
+    rng = np.random.default_rng(11)
+    part = [[f"p{k}_{i}" for i in range(60)] for k in range(parts)]
+    rows = []
+    for d in range(n):
+        k = d * parts // n
+        rows.append((d, " ".join([*part[k], *part[(k + 1) % parts], *(f"own{d}_{i}" for i in range(int(rng.integers(10, 50))))])))
+    return rows
+
+
+@pytest.mark.parametrize("paired", [2, 16])
+def test_near_duplicates_in_chained_boilerplate(spark, monkeypatch, paired):
+    monkeypatch.setattr(near_dup, "PAIRED", paired)
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rows = boilerplate_chain()
+    # Pairs of near copies hide in the chain: apart from each other's centre, alike to each other.
+    rows += [(1000 + d, t.replace(f"own{d}_3", "edited")) for d, t in rows[::7]]
+    want = reference.components(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({c for _, c in got.values()}) < len(rows)
+
+
+def test_comparisons_grow_with_a_chain_not_with_its_square(spark, monkeypatch):
+    sizes = []
+    for n in (240, 960):
+        compared = []
+        settle = near_dup._unsettled
+
+        def count(met, pairs, root):
+            rest = settle(met, pairs, root)
+            of = [r["count"] for r in rest.groupBy("key").count().collect()] if rest is not None else []
+            compared.append(pairs.count() + sum(k * (k - 1) // 2 for k in of))  # noqa: B023
+            return rest
+
+        with monkeypatch.context() as m:
+            m.setattr(near_dup, "_unsettled", count)
+            near_dup.classes(spark.createDataFrame(boilerplate_chain(n, n // 4), "doc_id long, text string")).count()
+        sizes += compared
+    assert sizes[1] < 6 * sizes[0] and sizes[1] < 960 * 959 // 8
+
+
+def test_near_duplicates_with_hot_centres_copies_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 0)
+    monkeypatch.setattr(near_dup, "HEAVY_ROWS", 0)
+    monkeypatch.setattr(near_dup, "HEAVY_KEYS", 20)
+    monkeypatch.setattr(near_dup, "heavy_keys", lambda rows, on, total: common.heavy_keys(rows, on, total, 20))
+    base = [f"t{i}" for i in range(100)]
+    rows = [(d, " ".join(base)) for d in range(40)] + [(100 + d, " ".join([*base[: d % 90], f"x{d}", *base[d % 90 + 1 :]])) for d in range(60)] + [(500 + d, f"quite other words for each one {d}") for d in range(30)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, _kept string, rep int")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.classes(df).collect()}
+    assert got == reference.components(rows)
+    kept = near_dup.keep_first(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in got.items() if c == d}
+
+
 def test_near_duplicates_keep_first(spark):
     kept = near_dup.keep_first(odd(spark))
     assert kept.columns == odd(spark).columns
