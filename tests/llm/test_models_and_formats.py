@@ -1,15 +1,18 @@
 """Classifiers by held-out accuracy, page extraction and chat formatting, and the pipeline's stages."""
 
+import hashlib
 import itertools
 import math
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagedrift.llm import chat_format, common, html_extract, quality, toxicity
+from pagedrift.llm import bpe, chat_format, common, html_extract, quality, toxicity
 
 from . import reference
 from .test_text_operators import ODD, odd
@@ -305,7 +308,7 @@ def test_pipeline_stages(spark):
         if d in after:
             assert after[d]["text"] == text and after[d]["n_chars"] == len(text)
     kept = rows(corpus_pipeline.near_stage(spark, docs, SF))
-    assert kept.keys() == {d for d, (_, root) in reference.components([(d, r["text"]) for d, r in before.items()]).items() if d == root}
+    assert kept.keys() == {d for d, (_, root) in reference.components([(d, r["text"]) for d, r in before.items()], 80).items() if d == root}
     items = [(r["item_id"], r["text"]) for r in tables(spark, "benchmark")[0].collect()]
     leaked = {d for d, _ in reference.leaks([(d, r["text"]) for d, r in before.items()], items)}
     assert rows(corpus_pipeline.benchmark_stage(spark, docs, SF)).keys() == before.keys() - leaked
@@ -315,9 +318,28 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_runs_whole(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    ids = [r["doc_id"] for r in out.collect()]
-    assert 50 < len(ids) == len(set(ids)) < 200 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf)
+    again = corpus_pipeline.run(spark, sf)  # a second run leaves the first one's stages alone
+    got = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got == {r["doc_id"]: tuple(r)[1:] for r in again.collect()}
+    docs, labels, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels", "benchmark"))
+    good = {r["doc_id"] for r in quality.scores(docs, labels).where("predicted = 1").collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
+    gone = reference.dropped(rows)
+    rows = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, []))) for d, t in rows]
+    rows = [(d, t) for d, t in rows if t.strip() or d not in gone]
+    root = reference.components(rows, 80)
+    rows = [(d, t) for d, t in rows if root[d][1] == d]
+    leaked = {d for d, _ in reference.leaks(rows, [(r["item_id"], r["text"]) for r in items.collect()])}
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for d, t in rows:
+        if d not in leaked:
+            ids = library.encode_ordinary(t)
+            want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert got == want and 50 < len(want) < 200
 
 
 @pytest.mark.parametrize("stage", range(5))
