@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagedrift.llm import bpe, decontam, line_dedup, near_dup, quality
-from pagedrift.llm.common import table, with_checkpoint_dir
+from pagedrift.llm.common import folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity of near-duplicates in per cent, on word shingles.
+SIMILAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +21,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat or nearly repeat an earlier line go; so do documents of which nothing but white space is left."""
-    out = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    out = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
-    return near_dup.keep_first(docs).select(*COLUMNS)
+    return near_dup.keep_first(docs, SIMILAR).select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each but the last is written as Parquet to the shared folder and read again."""
-    with_checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir()
+    """All stages over documents. Each but the last is written as Parquet to the shared folder and read again; what is written
+    there goes when the application ends."""
+    root = folder(spark, "stages")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            at = f"{root}/stages/{id(docs):x}-{i}-{name}"
-            docs.write.mode("overwrite").parquet(at)
+            at = f"{root}/{i}-{name}"
+            docs.write.parquet(at)
             docs = spark.read.parquet(at)
     return docs
