@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 CHALLENGE_MARKERS = ["challenge-platform", "cf-chl-", "cf_chl_opt", "<title>Just a moment...</title>", "Attention Required! | Cloudflare"]
 SCHEDULE_HOURS = [1, 6, 24, 72, 168, 720, 2160, 8760]
 LONGEST_WAIT = 300
+# Characters kept of an error, months and zones of mail dates.
+ERROR_CHARS = 2000
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MAIL_ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
 def outcome(status: Column, mitigated: Column, server: Column, body: Column) -> Column:
@@ -57,10 +61,29 @@ def queue_state(attempts: Column, most: Column, base: float) -> tuple[Column, Co
     return F.when(parked, "parked").otherwise("pending"), F.when(~parked, F.lit(base) * F.pow(F.lit(2.0), attempts - 1))
 
 
+def cut_error(text: Column) -> Column:
+    """What is kept of an error's text."""
+    return F.substring(text, 1, ERROR_CHARS)
+
+
+_MAIL = r"^(?:[A-Za-z]+\.?,?\s*)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*\.?[\s-]+(\d{2,4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?(?:\s*([+-]\d{4}|[A-Za-z]+))?\s*(?:\(.*\))?$"
+_ISO = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2}(?:[.,]\d{1,6})?)\d*)?)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+
+
 def parsed_date(text: Column) -> Column:
-    """Timestamp of an RFC 2822 or ISO 8601 date; without an offset it is UTC; null if it is neither."""
-    plain = F.regexp_replace(F.trim(text), r"^\w{3},\s*", "")
-    offset = F.regexp_replace(F.regexp_replace(plain, r"\s(?:GMT|UTC|UT|Z)$", " +0000"), r"^(\d{1,2} \w{3} \d{4} \d{2}:\d{2})( [+-]\d{4})$", "$1:00$2")
-    rfc = F.try_to_timestamp(offset, F.lit("d MMM yyyy HH:mm:ss Z"))
-    iso = F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}"), F.trim(text).try_cast("timestamp"))
-    return F.coalesce(rfc, iso)
+    """Timestamp of a date as mail (RFC 2822, with its old forms) or ISO 8601 writes it; without an offset it is UTC,
+    whatever the session's zone; null if it is neither or names no day."""
+    bare = F.trim(text)
+    mail = lambda i: F.regexp_extract(bare, _MAIL, i)
+    iso = lambda i: F.regexp_extract(bare, _ISO, i)
+    zones = F.create_map(*[F.lit(x) for pair in MAIL_ZONES.items() for x in pair])
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])
+    number = lambda c: F.coalesce(F.when(c != "", c).try_cast("int"), F.lit(0))
+    year = mail(3).try_cast("int")
+    year = F.when(F.length(mail(3)) == 4, year).when(F.length(mail(3)) == 2, F.when(year > 68, year + 1900).otherwise(year + 2000))
+    zone = F.when(mail(7).rlike(r"^[+-]"), mail(7)).otherwise(F.coalesce(F.try_element_at(zones, F.upper(mail(7))), F.lit("+0000")))
+    colon = lambda z: F.regexp_replace(z, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
+    by_mail = F.try_make_timestamp(year, F.try_element_at(months, F.lower(mail(2))), mail(1).try_cast("int"), number(mail(4)), number(mail(5)), number(mail(6)).cast("decimal(8,6)"), colon(zone))
+    seconds = F.coalesce(F.regexp_replace(iso(6), ",", ".").try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    by_iso = F.try_make_timestamp(iso(1).try_cast("int"), iso(2).try_cast("int"), iso(3).try_cast("int"), number(iso(4)), number(iso(5)), seconds, F.when(iso(7).isin("", "Z"), "+00:00").otherwise(colon(iso(7))))
+    return F.coalesce(F.when(mail(1) != "", by_mail), F.when(iso(1) != "", by_iso))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,23 +22,27 @@ _HORIZONTAL = r"\t\x0B\f\r\x1c-\x1f \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u2
 _EDGE = rf"[{_HORIZONTAL}\n\p{{P}}\p{{Z}}]"
 
 
+#: A character that composition may change; all below U+0300 are composed as they stand.
+_COMPOSABLE = r"[^\x00-\u02ff]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda row: [unicodedata.normalize("NFC", t) for t in row])
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition. What it is made of is computed once, below the crossing to Python."""
     return _nfc(text)
 
 
-def normalise(text: Column) -> Column:
-    """The form in which two texts are compared; null counts as empty.
-
-    One pass: composed, line ends unified, invisible characters removed, joiners kept only where they join letters,
-    quotes and dashes folded, each run of horizontal white space one blank, lines trimmed and blank lines dropped.
-    """
-    t = nfc(F.coalesce(text, F.lit("")))
+def _folded(t: Column) -> Column:
+    """Normalisation of a composed text, but for its last composition."""
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.translate(t, INVISIBLE, "")
     t = F.replace(t, F.lit(LEGACY_KHANDA_TA), F.lit(KHANDA_TA))
@@ -47,11 +51,45 @@ def normalise(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(^|(?<={_EDGE}))[{ZWJ}{ZWNJ}]+", "")
     t = F.regexp_replace(t, rf"[{ZWJ}{ZWNJ}](?={_EDGE}|\z)", "")
     t = F.translate(t, DOUBLE_QUOTES + SINGLE_QUOTES + DASHES, '"' * len(DOUBLE_QUOTES) + "'" * len(SINGLE_QUOTES) + "-" * len(DASHES))
+    return _lines(t)
+
+
+def _lines(t: Column) -> Column:
     t = F.regexp_replace(t, rf"[{_HORIZONTAL}]+", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return nfc(F.regexp_replace(t, r"^[ \n]+|[ \n]+\z", ""))
+    return F.regexp_replace(t, r"^[ \n]+|[ \n]+\z", "")
+
+
+def normalise(text: Column) -> Column:
+    """The form in which two texts are compared; null counts as empty.
+
+    One pass: composed, line ends unified, invisible characters removed, joiners kept only where they join letters,
+    quotes and dashes folded, each run of horizontal white space one blank, lines trimmed and blank lines dropped.
+    """
+    return nfc(_folded(nfc(F.coalesce(text, F.lit("")))))
 
 
 def text_hash(text: Column) -> Column:
     """SHA-256 of the normalised text."""
     return F.sha2(normalise(text), 256)
+
+
+def with_hashes(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with, for each name of columns, the text_hash() of the column that it names.
+
+    Rows without a character that composition, joiners or folding could touch, which are most, never leave the JVM; of the
+    others all columns cross to Python together, once before and once after.
+    """
+    names = list(columns)
+    texts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns.values()])
+    odd = F.exists(texts, lambda t: t.rlike(_COMPOSABLE))
+    digest = lambda t: F.sha2(t, 256)
+
+    def plain(c: str) -> Column:
+        t = F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\r\n?", "\n")
+        return digest(_lines(F.translate(F.translate(t, "\u00ad", ""), "\u00ab\u00bb", '""')))
+
+    simple = rows.where(~odd).select("*", *[plain(c).alias(n) for n, c in columns.items()])
+    composed = rows.where(odd).withColumn("_t", _nfc_all(texts))
+    folded = composed.withColumn("_t", _nfc_all(F.array(*[_folded(F.col("_t")[i]) for i in range(len(names))])))
+    return simple.union(folded.select(*rows.columns, *[digest(F.col("_t")[i]).alias(n) for i, n in enumerate(names)]))

@@ -13,8 +13,13 @@ LISTING_SEGMENTS = ["tag", "tags", "topic", "topics", "category", "categories",
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+#: White space as Python counts it, and what browsers strip before a scheme.
+_SPACE = r"[\x00-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def _part(url: Column, i: int) -> Column:
-    return F.regexp_extract(F.trim(url), _SPLIT, i)
+    bare = F.regexp_replace(url, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.regexp_extract(F.translate(bare, "\t\r\n", ""), _SPLIT, i)
 
 
 def scheme(url: Column) -> Column:
@@ -35,13 +40,19 @@ def path(url: Column) -> Column:
     return _part(url, 3)
 
 
+def pathname(url: Column) -> Column:
+    """The path as browsers show it: "/" if there is none."""
+    return F.when(path(url) == "", "/").otherwise(path(url))
+
+
 def site(url_host: Column) -> Column:
     """Host without its www."""
     return F.regexp_replace(F.rtrim(F.lower(url_host)), r"^www\.", "")
 
 
 def _decoded(x: Column) -> Column:
-    return F.try_url_decode(x)
+    """x without its escapes; a percent sign that begins none stands for itself."""
+    return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _encoded(x: Column) -> Column:
