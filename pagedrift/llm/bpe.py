@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import parts_for, text_bytes
+from pagedrift.llm.common import parts_for, slices, text_bytes
 
 #: White space as Unicode has it; Python's own class also takes U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -126,7 +126,7 @@ def _split(pattern: str, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             rows += [(-1 - p, _pack([spelled[i] for i in group])) for p, group in itertools.groupby(order, part.__getitem__)]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["slot", "chunk", "payload"])
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = text or ""
                 if ids and size + len(text) > CHUNK:

@@ -6,7 +6,9 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in smaller ones, so that few of them are Python objects at once."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+`; one empty text for a text without words or null."""
     return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r")), SPACE_CLASS)

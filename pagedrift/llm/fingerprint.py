@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import parts_for, text_bytes
+from pagedrift.llm.common import parts_for, slices, text_bytes
 
 #: Code points of a gram, and grams of a window at most: any shared stretch of GRAM + WINDOW - 1 code points shares a selected
 #: gram. Grams are as long in short texts as in long ones, so that all compare; windows shrink with the text.
@@ -165,7 +165,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = set(h.tolist())
         rows.append((None if key == LEAST_ID else key, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(h, p), written(eh, ep), likeness(mine, set(eh.tolist())), likeness(mine, set(selected[0].tolist()))))
 
-    for b in batches:
+    for b in slices(batches):
         for part, halo, key, text in zip(*(b.column(c).to_pylist() for c in ("part", "halo", "key", "text")), strict=True):
             if last is not None and last[0] == part:
                 now = winnow(text)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagedrift.llm.common import HEAVY_KEYS, HEAVY_ROWS, cut, heavy_keys, joined, parts_for, saved, unused
+from pagedrift.llm.common import HEAVY_KEYS, HEAVY_ROWS, cut, heavy_keys, joined, parts_for, saved, slices, unused
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -107,7 +107,7 @@ def _mix32(x: np.ndarray, i: int) -> np.ndarray:
 
 def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
-    for b in batches:
+    for b in slices(batches):
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids.append(doc_id)
             texts.append(text)
@@ -249,8 +249,8 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     representative is first compared with the least one, its centre: as many pairs as rows, and enough to connect families of
     near copies. Only buckets in which some member isn't in its centre's component are looked at again, once for equal
     members, and only for pairs of members of two components: listed in buckets of at most PAIRED members, and in larger ones
-    block against block of the bucket, in tasks that return a spanning forest. So pairs of a large family are neither all
-    compared nor written, and documents that never met in a bucket aren't compared.
+    block against block, in tasks that return a spanning forest. So pairs of a large family are never written, and
+    comparisons don't outgrow the pairs that meet in buckets.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = saved(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"))
@@ -289,18 +289,18 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     root = components(confirmed(alike(pairs)))
     rest = _unsettled(met, pairs, root)
     if rest is not None:
-        few = rest.where(F.col("n") <= PAIRED)
-        other = few.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-        listed = few.select("key", F.col("id").alias("a"), "component").join(other, "key").where("a < b AND component <> other").select("a", "b").distinct()
+        few = rest.where((F.col("n") <= PAIRED) & ~F.col("whole"))
+        other = few.select("grp", F.col("id").alias("b"), F.col("component").alias("other"))
+        listed = few.select("grp", F.col("id").alias("a"), "component").join(other, "grp").where("a < b AND component <> other").select("a", "b").distinct()
         links = confirmed(alike(saved(listed.join(pairs, ["a", "b"], "left_anti"))))
-        large = rest.where(F.col("n") > PAIRED).join(known, "id")
+        large = rest.where((F.col("n") > PAIRED) | F.col("whole")).join(known, "id")
         if not large.isEmpty():
-            sizes = large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("of"))
-            blocks = saved(large.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
+            sizes = large.groupBy("whole", "grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("of"))
+            blocks = saved(large.join(sizes, ["whole", "grp"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
             other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-            placed = blocks.select("key", "id", "component", "keys", "block", other).select("key", "id", "component", "keys", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+            placed = blocks.select("whole", "grp", "id", "component", "keys", "block", other).select("whole", "grp", "id", "component", "keys", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
             met_blocks = placed.join(sets_of(blocks.select(F.col("id").alias("doc_id")).distinct()), "id")
-            links = links.union(met_blocks.groupBy("key", "x", "y").applyInArrow(_compare_blocks(percent), "a long, b long"))
+            links = links.union(met_blocks.groupBy("whole", "grp", "x", "y").applyInArrow(_compare_blocks(percent), "a long, b long"))
         root = components(links.union(root.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     total = sketch.count()
     busy = same.where(F.col("copies") * HEAVY_KEYS > total).select(*name)
@@ -322,10 +322,14 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _unsettled(met: DataFrame, pairs: DataFrame, root: DataFrame) -> DataFrame | None:
-    """Members of buckets that the comparison with centres leaves open: key, id, component, n (members); None if there are none.
-
-    Such a bucket has three members at least, and one that isn't in its centre's component. Of buckets with equal members one
-    stands for all.
+    """Members of groups that the comparison with centres leaves open: whole, grp, id, component, n (members); None if there
+    are none.
+
+    A bucket is open if it has three members at least and one that isn't in its centre's component; of buckets with equal
+    members one stands for all. Open buckets that share members are a family. Where the square of a family is at most the sum
+    of the squares of its buckets, as for near copies, which meet in most tables, the group is the whole family, so that each
+    pair is compared once; else, as for documents that boilerplate chains together, the groups are the buckets. So there are
+    never more comparisons than pairs in buckets.
     """
     place = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"of_{c}"))
     told = joined(pairs, place("a"), ["a"], heavy_keys(pairs, ["a"], pairs.count()), "left").join(place("b"), "b", "left")
@@ -338,7 +342,13 @@ def _unsettled(met: DataFrame, pairs: DataFrame, root: DataFrame) -> DataFrame |
     if open_.isEmpty():
         return None
     members = rows.select("key", "id", F.col("of_b").alias("component")).union(rows.select("key", "centre", "of_a").distinct())
-    return saved(members.join(open_, "key").select("key", "id", "component", "n").distinct())
+    members = saved(members.join(open_, "key").select("key", "id", "component", "n").distinct())
+    family = components(members.join(members.groupBy("key").agg(F.min("id").alias("least")), "key").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    told = members.join(family, "id")
+    squares = told.select("root", "key", "n").distinct().groupBy("root").agg(F.sum(F.col("n") * F.col("n")).alias("in_buckets"))
+    sizes = family.groupBy("root").agg(F.count("*").alias("m")).join(squares, "root").where("m * m <= in_buckets").select("root", F.col("m"))
+    judged = told.join(sizes, "root", "left").withColumn("whole", F.col("m").isNotNull())
+    return saved(judged.select("whole", F.when(F.col("whole"), F.col("root")).otherwise(F.col("key")).alias("grp"), "id", "component", F.coalesce("m", "n").alias("n")).distinct())
 
 
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import cut, held_out, label_sample
+from pagedrift.llm.common import cut, held_out, label_sample, slices
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -102,7 +102,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x = [statistics(t or "") for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["y", "fold", "x"])
 
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 def _scored(model: Model | None, threshold: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(2).to_pylist()
             x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), STATISTICS)
             s = model.score(x) if model else np.full(len(texts), 0.5)
@@ -180,7 +180,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mos
 
 def _kept(model: Model | None, threshold: float, at: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), STATISTICS)
             s = model.score(x) if model else np.full(len(texts), 0.5)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import cut, held_out, label_sample
+from pagedrift.llm.common import cut, held_out, label_sample, slices
 
 #: Labelled rows that the model is fitted on, at most, and UTF-8 bytes up to which a text takes part in that: 256 MB at most,
 #: which leave their tasks as numbers of features only.
@@ -123,7 +123,7 @@ def train(x: Bags, names: list[str], steps: int = STEPS) -> Model:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct features of each text."""
-    for b in batches:
+    for b in slices(batches):
         found = [sorted(set().union(*(features(t[s:e]) for s, e in sentences(t)))) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["features"])
 
@@ -131,7 +131,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _numbered(names: list[str]):
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {name: i for i, name in enumerate(names)}
-        for b in batches:
+        for b in slices(batches):
             rows = [[[at[f] for f in sorted(features(t[s:e])) if f in at] for s, e in sentences(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["doc_id", "y", "sentences"])
 
@@ -158,7 +158,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa
 
 def _scored(model: Model | None, threshold: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc_id, held, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s, found = model.score(text or "") if model else (0.0, [])
