@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,63 +58,56 @@ def group_figures(outlets: DataFrame) -> DataFrame:
 
 
 def withhold_small(figures: DataFrame, columns: list[str], least: int = LEAST_OUTLETS) -> DataFrame:
-    """figures with suppressed, reason, and the named columns null where fewer than `least` outlets contribute."""
+    """figures with suppressed, reason, and the named columns null where fewer than `least` outlets contribute.
+
+    Name all columns that say something of the contributing outlets, contributing itself among them.
+    """
     small = F.col("contributing") < least
     rest = [c for c in figures.columns if c not in columns]
     return figures.select(*rest, *[F.when(~small, F.col(c)).alias(c) for c in columns], small.alias("suppressed"), F.when(small, "small_group").alias("reason"))
 
 
-def plan_suppression(groups: dict[tuple[str, str], set[str]], contributing: set[str], least: int = LEAST_OUTLETS) -> dict[tuple[str, str], str]:
+Group = tuple[str, str]
+
+
+def leaks(outlets: int, contributing: int, least: int = LEAST_OUTLETS) -> bool:
+    """Whether so few outlets of a set contribute that their figures are theirs alone; or none does, of few."""
+    return 0 < contributing < least or (contributing == 0 and 0 < outlets < least)
+
+
+def plan_suppression(groups: dict[Group, set], cells: dict[object, tuple[int, int]], least: int = LEAST_OUTLETS) -> dict[Group, str]:
     """Groups to withhold, with the reason, so that no few outlets can be had by subtracting disjoint groups from another.
 
-    groups: (family, key) to outlets. A residual leaks if some but fewer than `least` of its outlets contribute, or none of
-    its fewer than `least` outlets do. Each leak withholds the smallest group that takes part in it, by contributing
-    outlets, then name, but never ("all", "all"); then all is judged anew. For tables of tens of groups.
+    groups, in the order in which they are judged: (family, key) to the cells that it is made of; cells: how many outlets each
+    holds, and how many of them contribute. Outlets of one cell are in the same groups. Of each published group and each
+    choice of published disjoint proper parts of it, the rest must not leak; of the first that does, the part with the fewest
+    contributing outlets is withheld, of equal ones the first by name, and all is judged anew. For tens of groups.
     """
-    held = {g: "small_group" for g, m in groups.items() if len(m & contributing) < least}
-
-    def leaks(rest: set[str]) -> bool:
-        n = len(rest & contributing)
-        return bool(rest) and (0 < n < least or (n == 0 and len(rest) < least))
-
-    def covers(whole: set[str], parts: list[tuple[str, str]]) -> tuple[tuple[str, str], ...] | None:
-        """Disjoint proper parts of whole that leave a leaking rest, by depth-first choice of disjoint parts only."""
-        todo = [((), frozenset(whole), 0)]
-        while todo:
-            chosen, rest, start = todo.pop()
-            if chosen and leaks(set(rest)):
-                return chosen
-            for i in range(start, len(parts)):
-                if groups[parts[i]] <= rest:
-                    todo.append(((*chosen, parts[i]), rest - groups[parts[i]], i + 1))
-        return None
-
-    while True:
-        shown = sorted((g for g in groups if g not in held), key=lambda g: (len(groups[g] & contributing), g))
+    held_cells = {g: frozenset(c for c in m if cells[c][0]) for g, m in groups.items()}
+    count = lambda some: tuple(sum(cells[c][i] for c in some) for i in range(2))
+    weight = {g: count(m)[1] for g, m in held_cells.items()}
+    held = {g: "small_group" for g in groups if weight[g] < least}
+
+    def choices(parts: list[Group], rest: frozenset):
+        """Choices of disjoint parts within rest, and what they leave: those of earlier parts before those of later ones."""
+        yield (), rest
+        for i, part in enumerate(parts):
+            if held_cells[part] <= rest:
+                for some, left in choices(parts[:i], rest - held_cells[part]):
+                    yield (*some, part), left
+
+    def first_leak() -> tuple[Group, ...]:
+        shown = [g for g in groups if g not in held]
         for whole in shown:
-            found = covers(groups[whole], [g for g in shown if g != whole and groups[g] < groups[whole]])
-            if found:
-                victims = [g for g in (*found, whole) if g != ("all", "all")]
-                held[min(victims, key=lambda g: (len(groups[g] & contributing), g))] = "complementary"
-                break
-        else:
-            return held
-
-
-def leaking(groups: dict[tuple[str, str], set[str]], contributing: set[str], held: set[tuple[str, str]], least: int = LEAST_OUTLETS) -> bool:
-    """Whether any published groups still leak: every choice of groups tried. For tests."""
-    shown = [g for g in groups if g not in held]
-    for whole in shown:
-        parts = [g for g in shown if g != whole and groups[g] < groups[whole]]
-        for k in range(1, len(parts) + 1):
-            for some in combinations(parts, k):
-                union = set().union(*(groups[g] for g in some))
-                if sum(len(groups[g]) for g in some) == len(union):
-                    rest = groups[whole] - union
-                    n = len(rest & contributing)
-                    if rest and (0 < n < least or (n == 0 and len(rest) < least)):
-                        return True
-    return False
+            parts = [g for g in shown if held_cells[g] < held_cells[whole] and g[0] != "all"]
+            for some, left in choices(parts, held_cells[whole]):
+                if some and leaks(*count(left), least):
+                    return some
+        return ()
+
+    while found := first_leak():
+        held[min(found, key=lambda g: (weight[g], g))] = "complementary"
+    return held
 
 
 def daily(rows: DataFrame, at: str, zone: str = "Asia/Dhaka") -> DataFrame:
@@ -130,20 +121,3 @@ def published(events: DataFrame, annotations: DataFrame) -> DataFrame:
     """Events that may be counted: confirmed, confirmed by review, and with a published annotation."""
     signed = annotations.where("review_state = 'published'").select("event_id").distinct()
     return events.where("confidence = 'confirmed' AND review_decision = 'confirmed'").join(signed, events["id"] == signed["event_id"], "left_semi")
-
-
-def violations(figures: DataFrame, columns: list[str]) -> DataFrame:
-    """Broken rules, one row each: grp, key, rule. Empty if all hold."""
-    none = [F.col(c).isNull() for c in columns]
-    all_null, any_null = none[0], none[0]
-    for x in none[1:]:
-        all_null, any_null = all_null & x, any_null | x
-    rules = {
-        "figures null exactly when suppressed": F.when(F.col("suppressed"), ~all_null).otherwise(any_null),
-        "reason set exactly when suppressed": F.col("suppressed") != F.col("reason").isNotNull(),
-        "captured within discovered": F.col("captured") > F.col("discovered"),
-        "archived within snapshots": F.col("archived") > F.col("snapshots"),
-        "contributing within outlets": F.col("contributing") > F.col("outlets"),
-    }
-    broken = F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))
-    return figures.select("grp", "key", F.explode(broken).alias("rule"))

@@ -31,16 +31,17 @@ def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
-def snapshot_changes(snapshots: DataFrame, same_version: bool = False) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, same_version: bool = False, carried: list[str] | None = None) -> DataFrame:
     """A row for each observed change between consecutive snapshots of an article.
 
     snapshots: article_id, id, fetched_at, headline_hash, byline, byline_hash, body_hash, published_at, date_source,
-    final_url, and extractor_version if same_version asks for pairs of one version only. One shuffle, by article; bodies
-    don't take part in it.
+    final_url, and extractor_version if same_version asks for pairs of one version only; carried names columns of the later
+    snapshot to keep. One shuffle, by article; bodies don't take part in it.
     """
+    kept = carried or []
     cols = ["id", "headline_hash", "byline", "byline_hash", "body_hash", "published_at", "date_source", "final_url"] + ["extractor_version"] * same_version
     w = Window.partitionBy("article_id").orderBy("fetched_at", "id")
-    pairs = snapshots.select("article_id", "fetched_at", F.struct(*cols).alias("now"), F.lag(F.struct(*cols)).over(w).alias("was")).where("was IS NOT NULL")
+    pairs = snapshots.select("article_id", "fetched_at", *kept, F.struct(*cols).alias("now"), F.lag(F.struct(*cols)).over(w).alias("was")).where("was IS NOT NULL")
     if same_version:
         pairs = pairs.where(F.col("now.extractor_version").eqNullSafe(F.col("was.extractor_version")))
     differs = lambda c: ~F.col(f"now.{c}").eqNullSafe(F.col(f"was.{c}"))
@@ -54,7 +55,13 @@ def snapshot_changes(snapshots: DataFrame, same_version: bool = False) -> DataFr
         event(date("now") != date("was"), F.lit("DATE_CHANGED"), F.when(weak, "unverified").otherwise("confirmed")),
         event(differs("final_url"), F.lit("REDIRECTED")),
     )
-    return pairs.select("article_id", F.col("fetched_at").alias("detected_at"), F.col("was.id").alias("from_snapshot_id"), F.col("now.id").alias("to_snapshot_id"), F.explode(F.array_compact(found)).alias("e")).select("article_id", "detected_at", "from_snapshot_id", "to_snapshot_id", "e.type", "e.confidence")
+    return pairs.select("article_id", F.col("fetched_at").alias("detected_at"), F.col("was.id").alias("from_snapshot_id"), F.col("now.id").alias("to_snapshot_id"), *kept, F.explode(F.array_compact(found)).alias("e")).select("article_id", "detected_at", "from_snapshot_id", "to_snapshot_id", "e.type", "e.confidence", *kept)
+
+
+def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
+    """snapshots(article_id, id, fetched_at, ...) that have one before them, with its id as from_snapshot_id."""
+    before = F.lag("id").over(Window.partitionBy("article_id").orderBy("fetched_at", "id"))
+    return snapshots.withColumn("from_snapshot_id", before).where("from_snapshot_id IS NOT NULL")
 
 
 def gone_events(attempts: DataFrame, first_of_streak: bool = False) -> DataFrame:
@@ -78,12 +85,20 @@ def gone_events(attempts: DataFrame, first_of_streak: bool = False) -> DataFrame
     return found.where("gone").select("article_id", F.col("id").alias("fetch_attempt_id"), F.col("started_at").alias("detected_at"), F.col("kind").alias("type"), sure.alias("confidence"))
 
 
-def restored_events(snapshots: DataFrame, gone: DataFrame) -> DataFrame:
-    """Every snapshot that follows an event of a document's absence: article_id, to_snapshot_id, detected_at, type, first_restored."""
-    log = snapshots.select("article_id", F.col("fetched_at").alias("at"), "id", F.lit(None).cast("timestamp").alias("gone_at")).union(gone.select("article_id", F.col("detected_at").alias("at"), F.lit(None).cast("long").alias("id"), F.col("detected_at").alias("gone_at")))
+def restored_events(snapshots: DataFrame, absences: DataFrame) -> DataFrame:
+    """Snapshots after an event of absence: article_id, from_snapshot_id, to_snapshot_id, detected_at, type, confidence, first_restored.
+
+    snapshots: article_id, fetched_at, id. absences: article_id, detected_at of any event without a snapshot of its own, be it
+    gone, blocked or out of the listings. A document's first snapshot is no return. The last absence is never cleared, so each
+    further snapshot gives an event; first_restored marks the first one after an absence. from_snapshot_id, that of the
+    absence, is always null.
+    """
+    log = snapshots.select("article_id", F.col("fetched_at").alias("at"), "id", F.lit(None).cast("timestamp").alias("gone_at")).union(absences.select("article_id", F.col("detected_at").alias("at"), F.lit(None).cast("long").alias("id"), F.col("detected_at").alias("gone_at")))
     w = Window.partitionBy("article_id").orderBy("at", F.col("id").asc_nulls_first())
-    told = log.withColumn("since", F.last("gone_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.lag("id").over(w))
-    return told.where("id IS NOT NULL AND since IS NOT NULL").select("article_id", F.col("id").alias("to_snapshot_id"), F.col("at").alias("detected_at"), F.lit("RESTORED").alias("type"), F.col("before").isNull().alias("first_restored"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    told = log.withColumn("since", F.last("gone_at", ignorenulls=True).over(before)).withColumn("prev", F.lag("id").over(w)).withColumn("seen", F.max("id").over(before))
+    back = told.where("id IS NOT NULL AND since IS NOT NULL AND seen IS NOT NULL")
+    return back.select("article_id", F.lit(None).cast("long").alias("from_snapshot_id"), F.col("id").alias("to_snapshot_id"), F.col("at").alias("detected_at"), F.lit("RESTORED").alias("type"), F.lit("confirmed").alias("confidence"), F.col("prev").isNull().alias("first_restored"))
 
 
 def latest_listings(listings: DataFrame, n: int = 2) -> DataFrame:
@@ -107,6 +122,26 @@ def presence_changes(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     return flags.select("article_id", F.when(left, "DEINDEXED").when(F.col("prev_sm") & ~F.col("cur_sm") & F.col("cur_rss"), "UNPUBLISHED").alias("type"), F.lit("unverified").alias("confidence")).where("type IS NOT NULL")
 
 
+def delistings(listings: DataFrame, entries: DataFrame, outlets: DataFrame, articles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Documents that left an outlet's listings between the last two fetches of each: article_id, outlet_id, type, confidence, detected_at.
+
+    listings: id, outlet_id, source_url, fetched_at; entries: listing_id, url_hash; outlets: outlet_id, rss_urls, sitemap_urls;
+    articles: id, outlet_id, status, merged_into_id; aliases: article_id, url_hash. Only configured listings count, an
+    outlet's feeds together and its sitemaps together. Only captured documents are judged, by all URLs of theirs and of those
+    merged into them. detected_at is the outlet's latest fetch, so a run whose fetches failed dates its finding as before.
+    """
+    rss, maps = (outlets.select("outlet_id", F.explode(c).alias("source_url"), F.lit(kind).alias("kind")) for c, kind in (("rss_urls", "rss"), ("sitemap_urls", "sitemap")))
+    configured = listings.join(rss.union(maps).distinct(), ["outlet_id", "source_url"])
+    latest = latest_listings(configured).select(F.col("id").alias("listing_id"), "outlet_id", "kind", "age", "fetched_at")
+    seen = entries.join(latest, "listing_id").select("outlet_id", "kind", "age", "url_hash")
+    root = articles.select(F.col("id").alias("article_id"), F.coalesce("merged_into_id", "id").alias("root"))
+    live = articles.where("status = 'captured' AND merged_into_id IS NULL").select(F.col("id").alias("root"), "outlet_id")
+    own = aliases.join(root, "article_id").join(live, "root").select(F.col("root").alias("article_id"), "outlet_id", "url_hash").distinct()
+    found = presence_changes(seen, own)
+    at = latest.groupBy("outlet_id").agg(F.max("fetched_at").alias("detected_at"))
+    return found.join(live.withColumnRenamed("root", "article_id"), "article_id").join(at, "outlet_id").select("article_id", "outlet_id", "type", "confidence", "detected_at")
+
+
 def self_corrected(events: DataFrame) -> DataFrame:
     """events with self_corrected: a withdrawal that the very next event undoes marks both."""
     w = Window.partitionBy("article_id").orderBy("detected_at", "id")
@@ -116,6 +151,11 @@ def self_corrected(events: DataFrame) -> DataFrame:
     return events.withColumn("self_corrected", F.coalesce(undone, F.lit(False)) | F.coalesce(undoes, F.lit(False)))
 
 
+def aged(events: DataFrame) -> DataFrame:
+    """events(type, detected_at, first_seen, ...) with age_hours and severity instead of first_seen."""
+    return events.withColumn("age_hours", age_hours(F.col("first_seen"), F.col("detected_at"))).withColumn("severity", severity(F.col("type"), F.col("age_hours"))).drop("first_seen")
+
+
 def scored(events: DataFrame, articles: DataFrame) -> DataFrame:
     """events with age_hours and severity, from articles(article_id, first_seen)."""
-    return events.join(articles, "article_id").withColumn("age_hours", age_hours(F.col("first_seen"), F.col("detected_at"))).withColumn("severity", severity(F.col("type"), F.col("age_hours"))).drop("first_seen")
+    return aged(events.join(articles, "article_id"))

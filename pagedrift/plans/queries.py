@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagedrift.functions import differences, fetching, text, urls
-from pagedrift.operators import coverage, events, queue, triage
+from pagedrift.operators import coverage, events, export, queue, triage
+from pagedrift.plans import exports
 from pagedrift.plans import standins as t
 from pagedrift.sources import pages as page_source
 
@@ -26,11 +27,10 @@ def query(sql: str | None = None):
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = t.versions(spark, sf_dir)
-    hashed = v.select("article_id", "id", "fetched_at", text.text_hash(F.col("headline")).alias("headline_hash"), "byline", text.text_hash(F.col("byline")).alias("byline_hash"), text.text_hash(F.col("body")).alias("body_hash"), "published_at", "date_source", "final_url")
-    found = events.snapshot_changes(hashed)
-    first = hashed.groupBy("article_id").agg(F.min("fetched_at").alias("first_seen"))
-    return events.scored(found, first)
+    v = text.with_hashes(t.versions(spark, sf_dir), {"headline_hash": "headline", "byline_hash": "byline", "body_hash": "body"})
+    first = F.min("fetched_at").over(Window.partitionBy("article_id"))
+    hashed = v.select("article_id", "id", "fetched_at", "headline_hash", "byline", "byline_hash", "body_hash", "published_at", "date_source", "final_url").withColumn("first_seen", first)
+    return events.aged(events.snapshot_changes(hashed, carried=["first_seen"]))
 
 
 BANDS = " + ".join(f"CAST({{age}} > {h} AS INT)" for h in fetching.SCHEDULE_HOURS)
@@ -61,12 +61,15 @@ def gone_streaks(spark, sf_dir):
     return events.gone_events(t.attempts(spark, sf_dir))
 
 
-@query(f"""WITH {t.GONE}, log AS (SELECT article_id, started_at AS seen, id, NULL AS gone_at FROM attempts WHERE outcome = 'ok' UNION ALL SELECT article_id, detected_at, NULL, detected_at FROM gone),
- r AS (SELECT *, last_value(gone_at IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since, lag(id) OVER w AS before FROM log WINDOW w AS (PARTITION BY article_id ORDER BY seen, id NULLS FIRST))
- SELECT article_id, id AS to_snapshot_id, seen AS detected_at, 'RESTORED' AS type, before IS NULL AS first_restored FROM r WHERE id IS NOT NULL AND since IS NOT NULL""")
+@query(f"""WITH {t.GONE}, absent AS (SELECT article_id, detected_at FROM gone UNION ALL SELECT user_id, ts FROM events WHERE event_type = 'signup' AND event_id % 3 = 0),
+ log AS (SELECT article_id, started_at AS seen, id, NULL AS gone_at FROM attempts WHERE outcome = 'ok' UNION ALL SELECT article_id, detected_at, NULL, detected_at FROM absent),
+ r AS (SELECT *, last_value(gone_at IGNORE NULLS) OVER b AS since, lag(id) OVER w AS before, max(id) OVER b AS earlier FROM log WINDOW w AS (PARTITION BY article_id ORDER BY seen, id NULLS FIRST), b AS (PARTITION BY article_id ORDER BY seen, id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT article_id, NULL::BIGINT AS from_snapshot_id, id AS to_snapshot_id, seen AS detected_at, 'RESTORED' AS type, 'confirmed' AS confidence, before IS NULL AS first_restored FROM r WHERE id IS NOT NULL AND since IS NOT NULL AND earlier IS NOT NULL""")
 def restored(spark, sf_dir):
     a = t.attempts(spark, sf_dir)
-    return events.restored_events(a.where("outcome = 'ok'").select("article_id", F.col("started_at").alias("fetched_at"), "id"), events.gone_events(a))
+    delisted = t.read(spark, sf_dir, "events").where("event_type = 'signup' AND event_id % 3 = 0").select(F.col("user_id").alias("article_id"), F.col("ts").alias("detected_at"))
+    absences = events.gone_events(a).select("article_id", "detected_at").union(delisted)
+    return events.restored_events(a.where("outcome = 'ok'").select("article_id", F.col("started_at").alias("fetched_at"), "id"), absences)
 
 
 @query(f"""WITH {t.ENTRIES}, f AS (SELECT page_id AS article_id, bool_or(kind = 'rss' AND age = 2) AS pr, bool_or(kind = 'sitemap' AND age = 2) AS ps, bool_or(kind = 'rss' AND age = 1) AS cr, bool_or(kind = 'sitemap' AND age = 1) AS cs
@@ -107,35 +110,27 @@ FIGURES = f"""WITH {t.OUTLETS}, g AS (SELECT grouping(language) AS gl, grouping(
  figures AS (SELECT CASE WHEN gl + gt = 2 THEN 'all' WHEN gl = 0 THEN 'language' ELSE 'tier' END AS grp, CASE WHEN gl + gt = 2 THEN 'all' WHEN gl = 0 THEN language ELSE tier END AS key, outlets, contributing, discovered, attempted, captured, snapshots, archived FROM g)"""
 
 
-@query(f"{FIGURES} SELECT * FROM figures")
+RATES = "CASE WHEN attempted > 0 THEN round_even(captured / attempted, 4) END AS capture_rate, CASE WHEN snapshots > 0 THEN round_even(archived / snapshots, 4) END AS archive_rate"
+
+
+@query(f"{FIGURES} SELECT *, {RATES} FROM figures")
 def coverage_groups(spark, sf_dir):
-    return coverage.group_figures(t.outlets(spark, sf_dir)).drop("capture_rate", "archive_rate")
+    return coverage.group_figures(t.outlets(spark, sf_dir))
 
 
-HELD = ["discovered", "captured", "snapshots", "archived"]
+HELD = ["contributing", "discovered", "attempted", "captured", "snapshots", "archived", "capture_rate", "archive_rate"]
 
 
-@query(f"{FIGURES} SELECT grp, key, outlets, contributing, attempted, " + ", ".join(f"CASE WHEN contributing >= 3 THEN {c} END AS {c}" for c in HELD) + ", contributing < 3 AS suppressed, CASE WHEN contributing < 3 THEN 'small_group' END AS reason FROM figures")
+@query(f"{FIGURES}, rated AS (SELECT *, {RATES} FROM figures) SELECT grp, key, outlets, " + ", ".join(f"CASE WHEN contributing >= 3 THEN {c} END AS {c}" for c in HELD) + ", contributing < 3 AS suppressed, CASE WHEN contributing < 3 THEN 'small_group' END AS reason FROM rated")
 def small_group_suppression(spark, sf_dir):
-    return coverage.withhold_small(coverage.group_figures(t.outlets(spark, sf_dir)).drop("capture_rate", "archive_rate"), HELD)
+    return coverage.withhold_small(coverage.group_figures(t.outlets(spark, sf_dir)), HELD)
 
 
-@query()
+@query(f"WITH RECURSIVE {t.OUTLETS.replace('outlets AS', 'figures AS')}, {t.SUPPRESSION} SELECT grp, key, sized.n AS outlets, reason IS NOT NULL AS suppressed, reason FROM plan JOIN sized USING (place, grp, key)")
 def complementary_suppression(spark, sf_dir):
-    rows = t.outlets(spark, sf_dir).select("outlet_id", "language", "tier", "snapshots")
-    told = rows.groupBy("language", "tier").agg(F.count("*").alias("n"), F.count_if(F.col("snapshots") > 0).alias("c")).collect()  # a row for each cell of two closed vocabularies
-    groups: dict[tuple[str, str], set[str]] = {}
-    contributing: set[str] = set()
-    for r in told:
-        # Outlets of one cell are alike to every rule, but for whether they contribute.
-        for i in range(r["n"]):
-            o = f"{r['language']}/{r['tier']}/{i}"
-            if i < r["c"]:
-                contributing.add(o)
-            for g in (("all", "all"), ("language", r["language"]), ("tier", r["tier"])):
-                groups.setdefault(g, set()).add(o)
-    held = coverage.plan_suppression(groups, contributing)
-    return spark.createDataFrame([(*g, len(m & contributing), g in held, held.get(g)) for g, m in sorted(groups.items())], "grp string, key string, contributing long, suppressed boolean, reason string")
+    rows = t.outlets(spark, sf_dir)
+    groups = export.group_keys(spark, t.FAMILIES).select("grp", "key").join(export.by_group(rows).groupBy("grp", "key").agg(F.count("*").alias("n")), ["grp", "key"], "left")
+    return export.withheld(groups.select("grp", "key", F.coalesce("n", F.lit(0)).alias("outlets")), export.suppression(rows, t.FAMILIES), [])
 
 
 @query("""WITH d AS (SELECT CAST(o_orderdate + INTERVAL 6 HOUR AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
@@ -224,7 +219,7 @@ def same_site(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha256({TRIMMED.format(x='text')}) AS text_hash FROM documents")
 def text_normal_hash(spark, sf_dir):
-    return t.read(spark, sf_dir, "documents").select("doc_id", text.text_hash(F.col("text")).alias("text_hash"))
+    return text.with_hashes(t.spread(t.read(spark, sf_dir, "documents").select("doc_id", "text")), {"text_hash": "text"}).select("doc_id", "text_hash")
 
 
 @query(f"SELECT sha256({TRIMMED.format(x='text')}) AS text_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -262,13 +257,6 @@ def page_fields(spark, sf_dir):
     return t.read(spark, sf_dir, "pages").select("page_id", page_source.page_fields(F.col("html")).alias("f")).select("page_id", "f.*")
 
 
-@query("SELECT 'x' AS grp, 'x' AS key, 'x' AS rule WHERE false")
-def dataset_violations(spark, sf_dir):
-    shown = [c for c in HELD if c not in ("discovered", "archived")]
-    f = coverage.withhold_small(coverage.group_figures(t.outlets(spark, sf_dir)), shown)
-    return coverage.violations(f, shown)
-
-
 @query("""SELECT (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS step, [1, 6, 24, 72, 168, 720, 2160, 8760][(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT] AS after_hours, event_id FROM events""")
 def recheck_schedule(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -285,3 +273,7 @@ def ingest_counters(spark, sf_dir):
     e = p.select("url", F.sha2("url", 256).alias("url_hash"), F.lit("example.com").alias("root"), F.when(m == 2, "rss").otherwise("sitemap").alias("kind"), F.when(m == 0, start).alias("date"))
     known = p.where("page_id % 4 = 0").select(F.sha2("url", 256).alias("url_hash"))
     return triage.ingested(e, known, start).groupBy("label").agg(F.count("*").alias("n"))
+
+
+QUERIES |= exports.QUERIES
+SQL |= exports.SQL
