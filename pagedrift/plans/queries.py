@@ -252,9 +252,15 @@ def word_diff(spark, sf_dir):
     return _pairs(spark, sf_dir).select("article_id", "id", differences.word_diff(F.col("was"), F.col("body")).alias("changes"))
 
 
-@query()
+TAG_FREE = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>((?s:.*?))</h1>', 1) AS h, regexp_extract(html, '<title[^>]*>((?s:.*?))</title>', 1) AS t, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang FROM pages),
+ g AS (SELECT page_id, {TAG_FREE.format(x="h")} AS h, {TAG_FREE.format(x="t")} AS t, lang FROM f)
+ SELECT page_id, CASE WHEN h <> '' THEN h WHEN t <> '' THEN t END AS headline, CASE WHEN h <> '' THEN 'h1' WHEN t <> '' THEN 'title' END AS headline_source, CASE WHEN lang <> '' THEN lang END AS lang, CASE WHEN t <> '' THEN t END AS title FROM g""")
 def page_fields(spark, sf_dir):
-    return t.read(spark, sf_dir, "pages").select("page_id", page_source.page_fields(F.col("html")).alias("f")).select("page_id", "f.*")
+    told = t.spread(t.read(spark, sf_dir, "pages")).select("page_id", page_source.page_fields(F.col("html")).alias("f"))
+    return told.select("page_id", "f.headline", "f.headline_source", "f.lang", "f.title")
 
 
 @query("""SELECT (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS step, [1, 6, 24, 72, 168, 720, 2160, 8760][(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT] AS after_hours, event_id FROM events""")

@@ -435,16 +435,32 @@ def test_listings(spark):
     assert listings.parse(gzip.compress(ATOM)) == ("atom", [("http://e.com/a", "A", "u")])
     assert listings.parse(b"\xef\xbb\xbf" + NEWS) == ("news_sitemap", [("http://e.com/n", "N", "d")])
     assert listings.parse(INDEX) == ("sitemap_index", [("http://e.com/s.xml", None, "m")])
-    assert [listings.parse(x) for x in (None, b"", b"junk", b"<html></html>", b"<rss", b'<!DOCTYPE r [<!ENTITY x SYSTEM "file:///etc/passwd">]><rss/>', b"\x1f\x8bjunk")] == [None] * 7
+    assert [listings.parse(x) for x in (None, b"", b"junk", b"<html></html>", b"<rss", b"\x1f\x8bjunk")] == [None] * 6
+    declared = b'<!DOCTYPE rss [<!ENTITY x SYSTEM "file:///etc/passwd"><!ENTITY y "z">]>' + RSS.split(b"?>")[1].replace(b"One", b"O&x;n&y;e &amp; more")
+    assert listings.parse(declared) == ("rss", [("http://e.com/1", "One & more", "x"), ("http://e.com/2", None, None)])
+    rdf = b'<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><item r:about="http://e.com/r"><title/></item></r:RDF>'
+    assert listings.parse(b" \n" + rdf) == ("rss", [("http://e.com/r", None, None)])
+    assert listings.parse(b"<urlset><url><loc>http://e.com/u</loc><lastmod>m</lastmod></url><url/></urlset>") == ("sitemap", [("http://e.com/u", None, "m")])
     df = spark.createDataFrame([(1, bytearray(RSS)), (2, bytearray(b"junk"))], "id long, content binary")
     assert [(r["id"], r["kind"], r["position"], r["url"]) for r in listings.entries(df).orderBy("position").collect()] == [(1, "rss", 0, "http://e.com/1"), (1, "rss", 1, "http://e.com/2")]
 
 
-def test_pages():
+def test_pages(spark):
     page = '<html lang="bn"><head><title>T</title><meta property="og:title" content="O"><meta name="author" content="M"><link rel="alternate" type="application/rss+xml" href="/f"><script type="application/ld+json">{bad</script><script type="application/ld+json">{"@graph":[{"@type":["NewsArticle"],"author":[{"name":"A"},"B"],"datePublished":"2024"}]}</script></head><body><h1> H  1</h1></body></html>'
     f = pages.fields(page)
     assert (f["headline"], f["headline_source"], f["byline"], f["byline_source"], f["published_at"], f["lang"], f["feeds"]) == ("H 1", "h1", "A, B", "jsonld", "2024", "bn", ["/f"])
     assert pages.fields(None)["headline"] is None
+    metas = '<h1> </h1><h1>Second</h1><meta property="og:title" content=" O "><meta name="dc.creator" content="C"><meta name="pubdate" content="P"><meta property="og:updated_time" content="U"><link rel="canonical" href=" /c ">'
+    f = pages.fields(metas)
+    assert [f[c] for c in ("headline", "headline_source", "byline", "byline_source", "published_at", "published_source", "modified_at", "modified_source", "canonical")] == ["O", "og", "C", "meta", "P", "meta", "U", "meta", "/c"]
+    # A blank value of a key gives way to the next attribute, not to a later tag of the same one.
+    f = pages.fields('<meta property="author" content=" "><meta property="author" content="later"><meta itemprop="author" content="I">')
+    assert f["byline"] == "I"
+    assert pages.fields('<nav><p>no</p></nav><p>out</p><article><p>one <b>b</b><p>two &amp; three</p><aside><p>no</p></aside></article>')["body"] == "one b\ntwo & three"
+    assert pages.fields("<p>a</p><form><p>no</p></form><p>b")["body"] == "a\nb" and pages.names([["A", {"name": "B"}], {"name": 1}, None, "C"]) == ["A", "B", "C"]
+    assert one(spark, ['<!doctype html><HTML class="x" LANG=en-GB>', "<html data-lang='x'>", "<html>", "<htmlx lang='de'>", None], pages.html_language) == ["en-GB", None, None, None, None]
+    assert one(spark, ["a /wp-includes/ b", "QuinType", "__NEXT_DATA__", "plain"], lambda c: pages.cms(c, F.lit(None).cast("string"))) == ["WordPress", "Quintype", "Next.js", None]
+    assert one(spark, ["/wp-content/"], lambda c: pages.cms(c, F.lit("G"))) == ["G"]
 
 
 def test_documents(spark, tmp_path):
@@ -476,19 +492,68 @@ def test_triage(spark):
     assert sorted(x["id"] for x in triage.kept_pages(s).collect()) == [0, 1]
 
 
-def test_streams_agree_with_batch(spark, tmp_path):
-    rows = [(1, i, T0 + timedelta(hours=i), f"h{i // 2}", f"b{i // 3}") for i in range(12)]
-    schema = "article_id long, id long, fetched_at timestamp, headline_hash string, body_hash string"
-    for k in range(3):
-        spark.createDataFrame(rows[4 * k : 4 * k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
-    batch = spark.read.parquet(str(tmp_path / "s"))
-    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "s"))
-    q = volume.changes(stream).writeStream.format("memory").queryName("changes").outputMode("append").start()
+def streamed(spark, rows, schema, tmp, f, parts, at):
+    """What a stream over the rows, in files of their order, gives once a row of another article long after has closed it."""
+    n = -(-len(rows) // parts)
+    last = list(rows[-1])
+    last[0], last[at] = 10_000, max(r[at] for r in rows) + timedelta(days=20)
+    files = [rows[k * n : (k + 1) * n] for k in range(parts)] + [[tuple(last)], [(last[0], *last[1:at], last[at] + timedelta(days=1), *last[at + 1 :])]]
+    batch = spark.createDataFrame(rows, schema)
+    name = f"s{tmp.name.replace('-', '_')}"
+    for k, part in enumerate(files):
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp / "in" / f"{k}"))
+    stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp / "in"))
+    q = f(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp / "state")).start()
     q.processAllAvailable()
     q.stop()
-    full = batch.selectExpr("*", "null as byline", "'' as byline_hash", "'' as published_at", "'' as date_source", "'' as final_url")
-    want = {(r["to_snapshot_id"], r["type"]) for r in events.snapshot_changes(full).collect()}
-    assert {(r["id"], r["type"]) for r in spark.sql("SELECT * FROM changes").collect()} == want
+    return batch, [r for r in spark.sql(f"SELECT * FROM {name}").collect() if r["article_id"] != 10_000]
+
+
+def test_streams_of_changes_agree_with_batch(spark, tmp_path):
+    rng = random.Random(2)
+    rows = []
+    for a in range(1, 5):
+        for i in range(12):
+            byline = rng.choice(["A", "B", "", None])
+            rows.append((a, 100 * a + i, T0 + timedelta(hours=i), rng.choice("hg"), byline, str(byline or ""), rng.choice("bc"), rng.choice(["d", "e", "", None]), rng.choice(["meta", events.FALLBACK_DATE]), rng.choice("uv")))
+    # Rows come up to an hour late, across files.
+    rows.sort(key=lambda r: (r[2] + timedelta(hours=2 * (r[1] % 2)), r[1]))
+    schema = "article_id long, id long, fetched_at timestamp, headline_hash string, byline string, byline_hash string, body_hash string, published_at string, date_source string, final_url string"
+    batch, got = streamed(spark, rows, schema, tmp_path, lambda s: volume.changes(s, "4 hours"), 5, 2)
+    want = events.snapshot_changes(batch).collect()
+    key = lambda r: (r["article_id"], r["detected_at"], r["from_snapshot_id"], r["to_snapshot_id"], r["type"], r["confidence"])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and {r["type"] for r in want} == {"HEADLINE_CHANGED", "BYLINE_REMOVED", "BYLINE_CHANGED", "BODY_CHANGED", "DATE_CHANGED", "REDIRECTED"}
+
+
+def test_streams_of_absences_agree_with_batch(spark, tmp_path):
+    rng = random.Random(4)
+    kinds = [("ok", 200), ("http_error", 404), ("http_error", 410), ("robots_blocked", None), ("timeout", None)]
+    rows = []
+    for a in range(1, 9):
+        at, kind = T0, kinds[0]
+        for i in range(30):
+            at += timedelta(hours=rng.choice([1, 3, 5]))
+            kind = kind if rng.random() < 0.7 else rng.choice(kinds)
+            rows.append((a, 100 * a + i, at, *kind))
+    rows.sort(key=lambda r: (r[2] + timedelta(hours=2 * (r[1] % 2)), r[1]))
+    batch, got = streamed(spark, rows, "article_id long, id long, started_at timestamp, outcome string, http_status int", tmp_path, lambda s: volume.absences(s, "4 hours"), 6, 2)
+    gone = events.gone_events(batch)
+    back = events.restored_events(batch.where("outcome = 'ok'").select("article_id", F.col("started_at").alias("fetched_at"), "id"), gone)
+    want = [(r["article_id"], r["detected_at"], r["fetch_attempt_id"], None, r["type"], r["confidence"]) for r in gone.collect()] + [(r["article_id"], r["detected_at"], None, r["to_snapshot_id"], r["type"], r["confidence"]) for r in back.collect()]
+    show = lambda rows: sorted(map(str, rows))
+    assert show(map(tuple, got)) == show(want) and {w[4] for w in want} >= {"RESTORED", "GONE_404", "ROBOTS_BLOCKED"}
+
+
+def test_state_expires(spark, tmp_path):
+    rows = [(1, 1, T0, "h", "A", "A", "b", "d", "meta", "u"), (2, 2, T0 + timedelta(days=9), "h", "A", "A", "b", "d", "meta", "u"), (2, 3, T0 + timedelta(days=10), "h", "A", "A", "b", "d", "meta", "u"), (1, 4, T0 + timedelta(days=12), "g", "A", "A", "b", "d", "meta", "u")]
+    schema = "article_id long, id long, fetched_at timestamp, headline_hash string, byline string, byline_hash string, body_hash string, published_at string, date_source string, final_url string"
+    for keep, n in (("400 days", 1), ("5 days", 0)):
+        (tmp_path / keep[0]).mkdir()
+        assert len(streamed(spark, rows, schema, tmp_path / keep[0], lambda s, k=keep: volume.changes(s, "1 hour", k), 4, 2)[1]) == n
+
+
+def test_stream_of_daily_volume_agrees_with_batch(spark, tmp_path):
     log = spark.createDataFrame([(T0 + timedelta(hours=5 * i), "ok") for i in range(20)], "started_at timestamp, outcome string")
     log.write.parquet(str(tmp_path / "a"))
     q = volume.daily_volume(spark.readStream.schema(log.schema).parquet(str(tmp_path / "a"))).writeStream.format("memory").queryName("volume").outputMode("complete").start()
