@@ -72,6 +72,8 @@ def _settled(waiting: list[dict], watermark_ms: int) -> tuple[list[dict], list[d
 
 
 def _changes(keep: str):
+    span = pd.Timedelta(keep).value // 1000
+
     def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, waiting = ([], []) if not state.exists else map(_loaded, state.get)
         if not state.hasTimedOut:
@@ -82,7 +84,7 @@ def _changes(keep: str):
         ready, waiting = _settled(waiting, state.getCurrentWatermarkMs())
         out = []
         for now in ready:
-            for was in last:
+            for was in last if not last or now["at"] - last[0]["at"] <= span else []:
                 out += [(key[0], pd.Timestamp(now["at"] * 1000), was["id"], now["id"], *what) for what in _between(was, now)]
             last = [now]
         if state.hasTimedOut and not ready and not waiting:
@@ -109,13 +111,15 @@ def changes(snapshots: DataFrame, late: str = "2 hours", keep: str = "400 days")
 
 
 ABSENCE = "article_id long, detected_at timestamp, fetch_attempt_id long, to_snapshot_id long, type string, confidence string"
-ABSENCE_STATE = "streak string, waiting string, seen boolean, absent boolean"
+ABSENCE_STATE = "streak string, waiting string, seen boolean, absent boolean, at long"
 KINDS = {("http_error", 404): "GONE_404", ("http_error", 410): "GONE_410"}
 
 
 def _absences(keep: str):
+    span = pd.Timedelta(keep).value // 1000
+
     def absences(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, waiting, seen, absent = ("", "", False, False) if not state.exists else state.get
+        streak, waiting, seen, absent, before = ("", "", False, False, 0) if not state.exists else state.get
         streak, waiting = _loaded(streak), _loaded(waiting)
         if not state.hasTimedOut:
             for r in _rows(batches, ["id", "started_at", "outcome", "http_status"]).to_dict("records"):
@@ -124,6 +128,9 @@ def _absences(keep: str):
         out = []
         for r in ready:
             at = pd.Timestamp(r["at"] * 1000)
+            if r["at"] - before > span:
+                streak, seen, absent = [], False, False
+            before = r["at"]
             if r["outcome"] == "ok":
                 if seen and absent:
                     out.append((key[0], at, None, r["id"], "RESTORED", "confirmed"))
@@ -137,7 +144,7 @@ def _absences(keep: str):
         if state.hasTimedOut and not ready and not waiting:
             state.remove()
         else:
-            state.update((_dumped(streak), _dumped(waiting), seen, absent))
+            state.update((_dumped(streak), _dumped(waiting), seen, absent, before))
             head = waiting[0]["at"] // 1000 + 1 if waiting else ready[-1]["at"] // 1000 + pd.Timedelta(keep).value // 1_000_000
             state.setTimeoutTimestamp(max(head, state.getCurrentWatermarkMs() + 1))
         frame = pd.DataFrame(out, columns=["article_id", "detected_at", "fetch_attempt_id", "to_snapshot_id", "type", "confidence"])
