@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import parts_for, slices, text_bytes
+from pagedrift.llm.common import lean, parts_for, slices, text_bytes
 
 #: White space as Unicode has it; Python's own class also takes U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Text of a chunk, in code points; a longer text is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Text for which there is one more part of the vocabulary, in bytes, and parts at most: what a chunk sends is bounded so.
 PART_BYTES, MOST_PARTS = 32 << 20, 4096
 #: Code points up to which a text's pre-tokens are listed at once, and pre-tokens that are put together at once.
@@ -265,6 +265,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     them however often the chunk holds it, so no part is hot. The token-byte table is broadcast: a row for each rank.
     """
     spark = docs.sparkSession
+    lean(spark)
     ranks = read_ranks(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = min(MOST_PARTS, parts_for(text_bytes(rows), PART_BYTES))

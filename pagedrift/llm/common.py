@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space between words: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that cross to Python at once.
+BATCH_BYTES = 8 << 20
 #: Keys that count as hot, at most: those with more than this share of all rows.
 HEAVY_KEYS = 1000
 #: Rows of a table below which no key of it is hot.
@@ -83,6 +85,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def lean(spark: SparkSession) -> None:
+    """Let what crosses to Python at once be BATCH_BYTES, however long texts are, where the session has Spark's own default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(name)).rstrip("bB") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The rows of batches in smaller ones, so that few of them are Python objects at once."""
     for b in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import parts_for, slices, text_bytes
+from pagedrift.llm.common import lean, parts_for, slices, text_bytes
 
 #: Code points of a gram, and grams of a window at most: any shared stretch of GRAM + WINDOW - 1 code points shares a selected
 #: gram. Grams are as long in short texts as in long ones, so that all compare; windows shrink with the text.
@@ -192,6 +192,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     neighbour is looked up by a join, and a task holds two documents at a time, however many its range has. An id that very
     many rows bear is divided among ranges by the hash of their texts.
     """
+    lean(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("key", F.xxhash64("text").alias("tie"), "text")
     n = min(MOST_RANGES, parts_for(text_bytes(rows), RANGE_BYTES))

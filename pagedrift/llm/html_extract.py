@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import slices
+from pagedrift.llm.common import lean, slices
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S).match
 _attribute = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""").findall
@@ -309,5 +309,6 @@ def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     without one ends with an element around it, or with the page. Pages of any length and depth are read in one pass without
     recursion. Formulas are text of their paragraph.
     """
+    lean(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract(model or trained()), "page_id long, url string, text string, n_chars long")

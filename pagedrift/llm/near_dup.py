@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagedrift.llm.common import HEAVY_KEYS, HEAVY_ROWS, cut, heavy_keys, joined, parts_for, saved, slices, unused
+from pagedrift.llm.common import HEAVY_KEYS, HEAVY_ROWS, cut, heavy_keys, joined, lean, parts_for, saved, slices, unused
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -252,6 +252,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     block against block, in tasks that return a spanning forest. So pairs of a large family are never written, and
     comparisons don't outgrow the pairs that meet in buckets.
     """
+    lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = saved(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"))
     name = ["h1", "h2", "n_shingles"]
@@ -344,10 +345,10 @@ def _unsettled(met: DataFrame, pairs: DataFrame, root: DataFrame) -> DataFrame |
     members = rows.select("key", "id", F.col("of_b").alias("component")).union(rows.select("key", "centre", "of_a").distinct())
     members = saved(members.join(open_, "key").select("key", "id", "component", "n").distinct())
     family = components(members.join(members.groupBy("key").agg(F.min("id").alias("least")), "key").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    told = members.join(family, "id")
+    told = saved(members.join(family, "id"))
     squares = told.select("root", "key", "n").distinct().groupBy("root").agg(F.sum(F.col("n") * F.col("n")).alias("in_buckets"))
     sizes = family.groupBy("root").agg(F.count("*").alias("m")).join(squares, "root").where("m * m <= in_buckets").select("root", F.col("m"))
-    judged = told.join(sizes, "root", "left").withColumn("whole", F.col("m").isNotNull())
+    judged = joined(told, sizes, ["root"], heavy_keys(told, ["root"], told.count()), "left").withColumn("whole", F.col("m").isNotNull())
     return saved(judged.select("whole", F.when(F.col("whole"), F.col("root")).otherwise(F.col("key")).alias("grp"), "id", "component", F.coalesce("m", "n").alias("n")).distinct())
 
 

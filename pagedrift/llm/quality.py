@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import cut, held_out, label_sample, slices
+from pagedrift.llm.common import cut, held_out, label_sample, lean, slices
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     Rows of fold 1 calibrate, the others give the normal equations, summed partition by partition; if either share is
     empty, all rows serve for both. What reaches the driver is bounded by the sample, not by the corpus.
     """
+    lean(docs.sparkSession)
     sample = F.broadcast(label_sample(labels, label, most))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("y", "text", "fold")
     measured = cut(joined.mapInArrow(_measured, "y int, fold int, x array<double>"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import cut, held_out, label_sample, slices
+from pagedrift.llm.common import cut, held_out, label_sample, lean, slices
 
 #: Labelled rows that the model is fitted on, at most, and UTF-8 bytes up to which a text takes part in that: 256 MB at most,
 #: which leave their tasks as numbers of features only.
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     Texts become numbers of features where they are, partition by partition; features are counted by document in a shuffle.
     The driver gets at most FEATURES names and the numbers of the bounded sample, which are smaller than its text.
     """
+    lean(docs.sparkSession)
     sample = F.broadcast(label_sample(labels, label, most))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = cut(rows.where(F.octet_length("text") <= SAMPLE_BYTES).join(sample, "doc_id").select("doc_id", "text", "y"))
