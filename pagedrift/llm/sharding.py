@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagedrift.llm.common import heavy_keys
+
 #: Rows that share a leading part of their key digest are numbered together; about this many to a group.
 RUN_ROWS = 50_000
 
@@ -34,16 +36,31 @@ def key_text(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
+def _run(rows: DataFrame, digits: int, n: int) -> Column:
+    """The run of a row, in the order of rows: the leading digits of its digest, the last hot digest up to it with those
+    digits, and, for rows of that digest, size and leading byte of the checksum."""
+    lead = F.substring("_digest", 1, digits)
+    busy = heavy_keys(rows, ["_digest"], n)
+    hot = F.array(*[F.lit(r["_digest"]) for r in busy.collect()] if busy is not None else [F.lit("")])
+    last = F.array_max(F.filter(hot, lambda d: (d <= F.col("_digest")) & F.startswith(d, lead)))
+    own = F.coalesce(last == F.col("_digest"), F.lit(False))
+    apart = lambda c: F.when(own, c).otherwise(F.lit(0).cast("long"))
+    return F.struct(lead, F.coalesce(last, F.lit("")), ~own, apart(F.col("size")), apart(F.shiftright("text_crc32", 24)))
+
+
 def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
     """Shard every row of docs(doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes plus 1, a null text counting as none. slot numbers the rows of a shard from 0 without
     gaps, by the MD5 of the key, then size and checksum. A null doc_id is the empty key; rows with equal ids share a
-    shard and get slots of their own. grown_shard is the shard under the weights `grown`. Only ids and sizes are
-    shuffled. No task numbers a whole shard: rows are numbered in runs that share a leading part of the digest, and each
-    run starts where the counts of the runs before it end.
+    shard and get slots of their own. grown_shard is the shard under the weights `grown`. Other columns play no part; an empty
+    table gives an empty result. Only ids and sizes are shuffled.
+
+    No task numbers a whole shard: rows are numbered in runs that share a leading part of the digest, and each run starts
+    where the counts of the runs before it end. An id of over a thousandth of the rows has runs of its own, for each size
+    and leading byte of the checksum.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = key_text(F.col("doc_id"))
     rows = docs.select(
         F.col("doc_id"),
@@ -57,7 +74,7 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
     digits = 1
     while len(weights) * 16**digits * RUN_ROWS < n:
         digits += 1
-    rows = rows.withColumn("_run", F.substring("_digest", 1, digits))
+    rows = rows.withColumn("_run", _run(rows, digits, n))
     counts = rows.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -404,6 +405,32 @@ def test_sharding(spark, monkeypatch):
     assert sorted(r["slot"] for r in twice.collect()) == list(range(2 * len(ODD)))
 
 
+def test_sharding_numbers_hot_ids_in_order(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 0)
+    monkeypatch.setattr(sharding, "heavy_keys", lambda rows, on, total: common.heavy_keys(rows, on, total, 10))
+    rows = [(None, f"nobody {i}") for i in range(200)] + [(7, "seven" * (i % 9)) for i in range(150)] + [(i, "x") for i in range(100, 400)] + [(8, "same")] * 60
+    got = sharding.assign(spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, size int, _run string"), [1.0, 1.0]).collect()
+    assert len(got) == len(rows)
+    for shard in (0, 1):
+        mine = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
+        assert [r["slot"] for r in mine] == list(range(len(mine)))
+        order = [(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest(), r["size"], r["text_crc32"]) for r in mine]
+        assert order == sorted(order)
+
+
+def test_sharding_by_brute_force_and_growth_of_weighted_shards(spark):
+    weights, grown = [1.0, 3.0, 0.5], [1.0, 3.0, 0.5, 2.0]
+
+    def best(key, weights):
+        u = [(int(hashlib.md5(f"{key}/{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for j in range(len(weights))]
+        return max(range(len(weights)), key=lambda j: (-weights[j] / math.log(u[j]), -j))
+
+    ids = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    for r in sharding.assign(ids, weights, grown).collect():
+        assert (r["shard"], r["grown_shard"]) == (best(r["doc_id"], weights), best(r["doc_id"], grown))
+        assert r["grown_shard"] in (r["shard"], 3)
+
+
 def test_sharding_follows_weights(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     share = {r["shard"]: r["count"] / 20_000 for r in sharding.assign(ids, [1.0, 2.0, 5.0]).groupBy("shard").count().collect()}
