@@ -42,6 +42,11 @@ def nice(value: Column) -> Column:
     return F.when(value <= 10, F.greatest(F.lit(1.0), F.floor(value + 0.5))).otherwise(F.floor(value / ten + 0.5) * ten)
 
 
+def local_time(at: Column, zone: str = "Asia/Dhaka") -> Column:
+    """A moment as reviewers read it: local date and time to the minute."""
+    return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm")
+
+
 def archive_url(location: Column) -> Column:
     """The address of an archived copy that a redirect points to; null if it points to none."""
     stamp, original = F.regexp_extract(location, r"/web/(\d{14})/(.+)$", 1), F.regexp_extract(location, r"/web/(\d{14})/(.+)$", 2)

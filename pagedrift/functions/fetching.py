@@ -34,6 +34,12 @@ def retry_delay(attempt: Column, retry_after: Column, base: float = 2.0) -> Colu
     return F.greatest(own, F.least(F.coalesce(retry_after.cast("double"), F.lit(0.0)), F.lit(float(LONGEST_WAIT))))
 
 
+def capture_label(result: Column, status: Column, html: Column) -> Column:
+    """What a capture came to, for counters of a run."""
+    with_status = F.when(status.isNotNull(), F.concat(result, F.lit("_"), status.cast("string"))).otherwise(result)
+    return F.when(result == "ok", F.when(html, "captured").otherwise("non_html")).when(retryable(result, status), F.concat(F.lit("retry_"), result)).otherwise(with_status)
+
+
 def gone_kind(result: Column, status: Column) -> Column:
     return F.when(result == "robots_blocked", "ROBOTS_BLOCKED").when((result == "http_error") & (status == 404), "GONE_404").when((result == "http_error") & (status == 410), "GONE_410")
 

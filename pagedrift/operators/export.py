@@ -204,3 +204,50 @@ def dataset_violations(outlets: DataFrame, covered: DataFrame, healthy: DataFram
     series = days.agg(F.coalesce(F.sum("snapshots"), F.lit(0)).alias("s"), F.count("*").alias("n")).crossJoin(F.broadcast(whole))  # one row by one row
     wrong = F.when(F.col("_held"), F.col("n") > 0).otherwise(F.col("s") != F.col("_all"))
     return found.union(series.where(wrong).select(F.lit("volume"), F.lit("volume: the series is that of all outlets")))
+
+
+# How sure an event can be.
+CONFIDENCES = ("confirmed", "probable", "unverified")
+
+
+def triage_violations(rows: DataFrame) -> DataFrame:
+    """Broken rules of a triage document, a row each: id, rule. Empty if all hold.
+
+    rows: id, type, detected_at, confidence, severity, age_hours, outlet_slug, outlet_name, url, review_state of annotations,
+    article_change_count, self_corrected, as triage.document() gives them.
+    """
+    rules = {
+        "id is positive": ~(F.col("id") > 0),
+        "type is named": F.coalesce(F.col("type"), F.lit("")) == "",
+        "detected_at is set": F.col("detected_at").isNull(),
+        "confidence is known": ~F.col("confidence").isin(*CONFIDENCES),
+        "severity is set": F.col("severity").isNull(),
+        "age is not negative": ~(F.col("age_hours") >= 0),
+        "outlet is named": (F.coalesce(F.col("outlet_slug"), F.lit("")) == "") | (F.coalesce(F.col("outlet_name"), F.lit("")) == ""),
+        "url is a URL": ~F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]"),
+        "changes are counted": ~(F.col("article_change_count") >= 0),
+        "annotations are signed and in a known state": F.exists("annotations", lambda a: ~F.coalesce(a["review_state"].isin("draft", "published", "retracted"), F.lit(False)) | (F.coalesce(a["author"], F.lit("")) == "")),
+        "self_corrected is set": F.col("self_corrected").isNull(),
+    }
+    # An unknown answer is a broken rule, but for annotations, which may be missing.
+    unknown = lambda name: F.lit(not name.startswith("annotations"))
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(bad, unknown(name)), name) for name, bad in rules.items()]))
+    return rows.select("id", F.explode(broken).alias("rule"))
+
+
+def checked(violations: DataFrame, shown: int = 20) -> None:
+    """Raise an error that names the first broken rules, if there are any."""
+    found = violations.limit(shown).collect()
+    if found:
+        raise ValueError("; ".join(": ".join(map(str, r)) for r in found))
+
+
+def archive_coverage(snapshots: DataFrame, archives: DataFrame) -> DataFrame:
+    """One row: snapshots, and of them archived, those with a good copy."""
+    good = archives.where("outcome = 'ok'").select(F.col("snapshot_id").alias("id")).distinct().withColumn("good", F.lit(1))
+    return snapshots.select("id").join(good, "id", "left").agg(F.count("*").alias("snapshots"), F.count("good").alias("archived"))
+
+
+def monitored(outlets: DataFrame) -> DataFrame:
+    """The outlets that are looked at, by slug, without any figure: slug, name, language, tier."""
+    return outlets.where("active").select("slug", "name", "language", "tier").orderBy("slug")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagedrift.functions import fetching
 from pagedrift.operators import discovery, events, export, queue, review, triage
 from pagedrift.plans import standins as t
 
@@ -287,3 +288,34 @@ def latest_reviews(spark, sf_dir):
     d = t.read(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("event_id"), F.when(u == 0, "confirmed").when(u == 1, "dismissed").when(u == 2, "escalated").otherwise("maybe").alias("decision"), F.concat(F.lit("r"), (F.col("user_id") % 7).cast("string")).alias("reviewed_by"), F.col("ts").alias("reviewed_at"))
     e = spark.range(400).select("id", F.lit(None).cast("string").alias("review_decision"), F.lit(None).cast("string").alias("reviewed_by"), F.lit(None).cast("timestamp").alias("reviewed_at"))
     return review.reviewed(e, d)[0]
+
+
+@query(f"WITH RECURSIVE {t.EXPORT} SELECT (SELECT count(*) FROM shot) AS snapshots, (SELECT count_if(l_quantity > 25) FROM shot) AS archived")
+def archive_coverage(spark, sf_dir):
+    r = t.export(spark, sf_dir)
+    return export.archive_coverage(r["snapshots"], r["archives"])
+
+
+@query(f"WITH RECURSIVE {t.EXPORT} SELECT slug, name, language, tier FROM outlet WHERE active ORDER BY slug")
+def monitored_outlets(spark, sf_dir):
+    return export.monitored(t.export(spark, sf_dir)["outlets"])
+
+
+@query(f"""WITH {t.ATTEMPTS} SELECT CASE WHEN outcome = 'ok' THEN CASE WHEN id % 3 = 0 THEN 'non_html' ELSE 'captured' END WHEN outcome = 'timeout' THEN 'retry_timeout' WHEN http_status IS NOT NULL THEN outcome || '_' || http_status ELSE outcome END AS label, count(*) AS n FROM attempts GROUP BY 1""")
+def capture_counters(spark, sf_dir):
+    label = fetching.capture_label(F.col("outcome"), F.col("http_status"), F.col("id") % 3 != 0)
+    return t.attempts(spark, sf_dir).select(label.alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '' ELSE 'BODY_CHANGED' END AS type, CASE event_id % 8 WHEN 0 THEN 'sure' WHEN 1 THEN NULL ELSE 'confirmed' END AS confidence, CAST(value AS INT) - 2 AS age, CASE WHEN event_id % 12 = 0 THEN 'no url' ELSE 'https://a.example/' || event_id END AS url, event_id % 9 AS state FROM events)
+ SELECT id, unnest([CASE WHEN id <= 0 THEN 'id is positive' END, CASE WHEN type = '' THEN 'type is named' END, CASE WHEN confidence IS NULL OR confidence <> 'confirmed' THEN 'confidence is known' END, CASE WHEN age < 0 THEN 'age is not negative' END, CASE WHEN url = 'no url' THEN 'url is a URL' END,
+  CASE WHEN state = 1 THEN 'annotations are signed and in a known state' END]) AS rule FROM e""".replace("SELECT id, unnest", "SELECT * FROM (SELECT id, unnest").replace(" AS rule FROM e", " AS rule FROM e) WHERE rule IS NOT NULL"))
+def triage_violations(spark, sf_dir):
+    e = F.col("event_id")
+    note = lambda state: F.array(F.struct(F.lit("ann").alias("author"), F.lit(state).alias("review_state")))
+    rows = t.read(spark, sf_dir, "events").select(
+        e.alias("id"), F.when(e % 10 == 0, "").otherwise("BODY_CHANGED").alias("type"), F.col("ts").alias("detected_at"), F.when(e % 8 == 0, "sure").when(e % 8 > 1, "confirmed").alias("confidence"), F.lit(3).alias("severity"),
+        (F.round("value").cast("int") - 2).alias("age_hours"), F.lit("o").alias("outlet_slug"), F.lit("O").alias("outlet_name"), F.when(e % 12 == 0, "no url").otherwise(F.concat(F.lit("https://a.example/"), e.cast("string"))).alias("url"),
+        F.when(e % 9 == 1, note("secret")).when(e % 9 == 2, note("draft")).alias("annotations"), F.lit(1).alias("article_change_count"), F.lit(False).alias("self_corrected"),
+    )
+    return export.triage_violations(rows)

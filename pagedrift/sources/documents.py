@@ -54,6 +54,18 @@ def allowed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("allowed", _allowed("status", "body", "agent", "url"))
 
 
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """robots(outlet_id, base_url, status, body, agent) with sitemaps, the URLs that the file declares, and disallows_homepage."""
+    declared = F.regexp_extract_all("body", F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), 1)
+    told = robots.withColumn("sitemaps", F.when(F.col("status").between(200, 299), declared).otherwise(F.array().cast("array<string>")))
+    return told.withColumn("disallows_homepage", ~_allowed("status", "body", "agent", "base_url"))
+
+
+def internal_document(rows: DataFrame, version: str, generated_at: str) -> dict:
+    """One document of the rows of a triage document, of which there are few: schema_version, generated_at, events."""
+    return {"schema_version": version, "generated_at": generated_at, "events": [json.loads(x) for x in rows.toJSON().collect()]}
+
+
 def write_document(path: str, document: dict) -> None:
     """One JSON document with sorted keys, put in place at once. For results of a few rows."""
     with open(f"{path}.new", "w", encoding="utf-8") as f:
@@ -62,11 +74,14 @@ def write_document(path: str, document: dict) -> None:
     os.replace(f"{path}.new", path)
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines that must fit the schema and hold no other field."""
+def read_documents(spark: SparkSession, path: str, schema: T.StructType, version: str | None = None) -> DataFrame:
+    """JSON lines that must fit the schema, hold no other field and, if a version is named, have it as schema_version."""
     raw = spark.read.text(path)
     names = sorted(f.name for f in schema.fields)
     extra = raw.where(F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, names)))) > 0).limit(1).count()
     if extra:
         raise ValueError(f"{path}: fields beyond {', '.join(names)}")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if version is not None and not rows.where(~F.col("schema_version").eqNullSafe(F.lit(version))).isEmpty():
+        raise ValueError(f"{path}: schema_version is not {version}")
+    return rows

@@ -100,6 +100,7 @@ def test_display(spark):
     assert one(spark, [0.0, 0.031, 0.1, 0.894, 1.0], display.percent, "double") == ["0%", "3.1%", "10%", "89%", "100%"]
     assert one(spark, [0.0, 25.0, 100.0], lambda v: F.round(display.radius(v, F.lit(100.0)), 3), "double") == [2.2, 4.5, 6.8]
     assert one(spark, [0.2, 7.4, 10.0, 449.0, 6283.0], display.nice, "double") == [1.0, 7.0, 10.0, 400.0, 6000.0]
+    assert one(spark, ["2024-01-01 20:30:00"], lambda c: display.local_time(c.cast("timestamp"))) == ["2024-01-02 02:30"]
     assert one(spark, ["/web/20240101000000/http://e.com/a", "/save/x", None], display.archive_url) == ["https://web.archive.org/web/20240101000000/http://e.com/a", None, None]
     assert one(spark, ["job spn2-0123456789abcdef0123 queued", "none"], display.archive_job) == ["spn2-0123456789abcdef0123", None]
     assert one(spark, ["error:too-many-daily", "Not Found"], display.archive_failure) == ["rate_limited", "error"]

@@ -322,6 +322,31 @@ def test_export(spark):
     }
 
 
+def test_triage_document_and_its_rules(spark):
+    snaps = [(i, 1 if i < 25 else 2, T0 + timedelta(hours=i), f"h{i}", "By" if i else None, "d", f"u{i}", "same" if i % 2 else f"body {i}") for i in range(27)]
+    s = spark.createDataFrame(snaps, "id long, article_id long, fetched_at timestamp, headline string, byline string, published_at string, final_url string, body string")
+    e = [(1, 1, "BODY_CHANGED", T0 + timedelta(hours=1), "confirmed", 5, 1.0, 0, 1), (2, 1, "DEINDEXED", T0 + timedelta(hours=2), "unverified", 9, 2.0, None, None), (3, 1, "RESTORED", T0 + timedelta(hours=3), "confirmed", 1, 3.0, None, 2), (4, 2, "BODY_CHANGED", T0 + timedelta(hours=4), "confirmed", 9, 4.0, 25, 26), (5, 2, "GONE_404", T0, "confirmed", 2, 0.0, None, None)]
+    ev = spark.createDataFrame(e, "id long, article_id long, type string, detected_at timestamp, confidence string, severity int, age_hours double, from_snapshot_id long, to_snapshot_id long")
+    a = spark.createDataFrame([(1, 1, "https://o.com/story"), (2, 1, "https://o.com/other")], "id long, outlet_id long, canonical_url string")
+    o = spark.createDataFrame([(1, "o", "O")], "outlet_id long, slug string, name string")
+    copies = spark.createDataFrame([(1, 0, "ok", "new", T0 + timedelta(days=1)), (2, 0, "ok", "old", T0), (3, 1, "error", "bad", T0), (4, 1, "ok", None, T0)], "id long, snapshot_id long, outcome string, archive_url string, requested_at timestamp")
+    notes = spark.createDataFrame([(1, "ann", "b", "draft", T0 + timedelta(days=1)), (1, "bob", "a", "published", T0)], "event_id long, author string, body string, review_state string, written_at timestamp")
+    doc = triage.document(ev, a, o, s, copies, notes, 4).cache()
+    rows = doc.collect()
+    assert [r["id"] for r in rows] == [4, 2, 1, 5]
+    one = rows[2]
+    assert (one["from_headline"], one["to_headline"], one["from_byline"], one["from_archive_url"], one["to_archive_url"]) == ("h0", "h1", None, "new", None)
+    assert one["body_diff"].startswith("- body 0") and [n["author"] for n in one["annotations"]] == ["bob", "ann"]
+    assert one["article_change_count"] == 3 and one["n_versions"] == 25 and [v["id"] for v in one["versions"]] == list(range(20)) and one["versions"][0]["archive_url"] == "new"
+    assert rows[1]["self_corrected"] and rows[1]["from_headline"] is None and not rows[0]["self_corrected"] and rows[3]["annotations"] is None
+    assert export.triage_violations(doc).count() == 0
+    export.checked(export.triage_violations(doc))
+    with pytest.raises(ValueError, match="confidence is known"):
+        export.checked(export.triage_violations(doc.withColumn("confidence", F.lit("sure"))))
+    told = documents.internal_document(doc, "1.0.0", "2024-01-01T00:00:00Z")
+    assert told["schema_version"] == "1.0.0" and len(told["events"]) == 4
+
+
 def test_calendar(spark):
     days = spark.createDataFrame([("2024-02-27", 0), ("2024-02-28", 3), ("2024-02-29", 0), ("2024-03-01", 2)], "day string, snapshots long").withColumn("day", F.to_date("day"))
     rows = {str(r["day"]): r for r in export.calendar(days, F.lit("2024-03-10").cast("date"), 2).collect()}
@@ -478,6 +503,14 @@ def test_documents(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"a": 1}\n')
     schema = spark.createDataFrame([(1,)], "a long").schema
     assert documents.read_documents(spark, str(tmp_path / "l.json"), schema).first()["a"] == 1
+    (tmp_path / "v.json").write_text('{"a": 1, "schema_version": "1.0.0"}\n')
+    versioned = spark.createDataFrame([(1, "x")], "a long, schema_version string").schema
+    assert documents.read_documents(spark, str(tmp_path / "v.json"), versioned, "1.0.0").count() == 1
+    with pytest.raises(ValueError, match="schema_version"):
+        documents.read_documents(spark, str(tmp_path / "v.json"), versioned, "2.0.0")
+    robots = [("a", "http://a.com/", 200, "User-agent: *\nDisallow: /\nSitemap: http://a.com/s.xml\n  SITEMAP : http://a.com/t.xml", "bot"), ("b", "http://b.com/", 404, "Sitemap: no", "bot"), ("c", "http://c.com/", None, None, "bot")]
+    got = documents.robots_rules(spark.createDataFrame(robots, "outlet_id string, base_url string, status int, body string, agent string")).orderBy("outlet_id").collect()
+    assert [(r["sitemaps"], r["disallows_homepage"]) for r in got] == [(["http://a.com/s.xml", "http://a.com/t.xml"], True), ([], False), ([], True)]
     (tmp_path / "l.json").write_text('{"a": 1, "z": 2}\n')
     with pytest.raises(ValueError):
         documents.read_documents(spark, str(tmp_path / "l.json"), schema)
