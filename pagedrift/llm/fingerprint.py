@@ -64,7 +64,7 @@ def winnow(text: str, gram: int = GRAM, window: int | None = None) -> tuple[np.n
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if n < gram:
-        whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        whole = int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], "big")
         return np.array([whole >> _BITS], np.uint64), np.zeros(1, np.int64)
     grams = n - gram + 1
     window = min(window or window_of(grams), grams)

@@ -132,3 +132,48 @@ SELECT pair_id, 0::BIGINT AS piece, coalesce(max(text) FILTER (part = 'prompt'),
   coalesce(max(spans) FILTER (part = 'chosen'), '') AS chosen_trained, coalesce(max(spans) FILTER (part = 'rejected'), '') AS rejected_trained
 FROM part GROUP BY pair_id
 """
+
+_MASK = (1 << 64) - 1
+#: A run of eight mixed code points as a number in the base of the fingerprints, and the mixing of 64 bits, step by step.
+_GRAM = " + ".join(f"((coalesce(lead(x, {j}) OVER w, 0) * {pow(0x9E3779B97F4A7C15, 7 - j, 1 << 64)}::UHUGEINT) & {_MASK})" for j in range(8))
+
+OP10 = f"""
+WITH doc AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER w, first_value(text) OVER w, '') AS after
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), edition AS MATERIALIZED (
+  SELECT doc_id, false AS edited, text FROM doc
+  UNION ALL SELECT doc_id, true, left(text, length(text) - length(text) // 3) || left(after, length(text) // 3) FROM doc
+), point AS (
+  SELECT doc_id, edited, length(text) AS n, unnest(range(0, length(text))) AS pos, (unicode(unnest(string_split(text, ''))) + 1)::UHUGEINT AS x FROM edition WHERE length(text) >= 8
+), first_mix AS (
+  SELECT doc_id, edited, n, pos, (xor(x, x >> 30) * {0xBF58476D1CE4E5B9}) & {_MASK} AS x FROM point
+), second_mix AS (
+  SELECT doc_id, edited, n, pos, (xor(x, x >> 27) * {0x94D049BB133111EB}) & {_MASK} AS x FROM first_mix
+), mixed AS (
+  SELECT doc_id, edited, n, pos, xor(x, x >> 31) AS x FROM second_mix
+), gram AS (
+  SELECT doc_id, edited, n - 7 AS grams, pos, ({_GRAM}) & {_MASK} AS x FROM mixed WINDOW w AS (PARTITION BY doc_id, edited ORDER BY pos)
+), third_mix AS (
+  SELECT doc_id, edited, grams, pos, (xor(x, x >> 30) * {0xBF58476D1CE4E5B9}) & {_MASK} AS x FROM gram WHERE pos < grams
+), fourth_mix AS (
+  SELECT doc_id, edited, grams, pos, (xor(x, x >> 27) * {0x94D049BB133111EB}) & {_MASK} AS x FROM third_mix
+), hashed AS (
+  SELECT doc_id, edited, grams, pos, least(64, 1 << greatest(0, floor(log2(greatest(grams // 8, 1)))::INT)) AS size, ((xor(x, x >> 31) >> 20) << 24) + (16777215 - pos)::UHUGEINT AS x FROM fourth_mix
+), least_of AS (
+  SELECT doc_id, edited, min(x) OVER (PARTITION BY doc_id, edited ORDER BY pos ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS x, pos, grams, size FROM hashed
+), chosen AS MATERIALIZED (
+  SELECT DISTINCT doc_id, edited, (x >> 24)::UBIGINT AS h, 16777215 - (x & 16777215)::BIGINT AS p FROM least_of WHERE pos <= grams - size
+  UNION ALL SELECT doc_id, edited, ('0x' || left(sha256(text), 16))::UBIGINT >> 20, 0 FROM edition WHERE length(text) BETWEEN 1 AND 7
+), told AS MATERIALIZED (
+  SELECT doc_id, edited, coalesce(string_agg(printf('%016x%08x', h::BIGINT, p), '' ORDER BY p), '') AS fingerprint, coalesce(list_distinct(list(h)), []) AS hs FROM edition LEFT JOIN chosen USING (doc_id, edited) GROUP BY 1, 2
+), next AS (
+  SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), like_of AS (
+  SELECT a.doc_id, a.fingerprint, e.fingerprint AS edited_fingerprint, len(list_intersect(a.hs, e.hs)) AS ie, len(list_distinct(list_concat(a.hs, e.hs))) AS ue, len(list_intersect(a.hs, b.hs)) AS ib, len(list_distinct(list_concat(a.hs, b.hs))) AS ub
+  FROM told a JOIN told e ON e.doc_id = a.doc_id AND e.edited JOIN next x ON x.doc_id = a.doc_id JOIN told b ON b.doc_id = next_id AND NOT b.edited WHERE NOT a.edited
+)
+SELECT d.doc_id, length(d.text) AS n_chars, sha256(e.text) AS edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN ue > 0 THEN ie / ue ELSE 1 END AS near_edited, CASE WHEN ub > 0 THEN ib / ub ELSE 1 END AS near_next
+FROM doc d JOIN edition e ON e.doc_id = d.doc_id AND e.edited JOIN like_of l ON l.doc_id = d.doc_id
+"""

@@ -104,7 +104,7 @@ def winnow(text, gram=8, most=64):
     if not text:
         return []
     if len(text) < gram:
-        return [(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") >> 20, 0)]
+        return [(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big") >> 20, 0)]
     points = [mix(ord(c) + 1) for c in text]
     grams = []
     for i in range(len(points) - gram + 1):
