@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagedrift.llm.common import lean, parts_for, slices, text_bytes
+from pagedrift.llm.common import lean, parts_for, released, slices, text_bytes
 
 #: White space as Unicode has it; Python's own class also takes U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -118,12 +118,13 @@ def _split(pattern: str, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         def chunk() -> pa.RecordBatch:
             name = task << 32 | made
             spelled = [w.encode() for w in found]
-            part = [zlib.crc32(w) % parts for w in spelled]
-            order = sorted(range(len(spelled)), key=lambda i: (part[i], spelled[i]))
+            part = np.fromiter((zlib.crc32(w) % parts for w in spelled), np.uint32, len(spelled))
+            order = np.array(sorted(range(len(spelled)), key=spelled.__getitem__), np.int64)
+            order = order[np.argsort(part[order], kind="stable")].tolist()
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
             rows = [(name, _pack((ids, [len(u) for u in used], _planes(rank[np.concatenate(used)]))))]
-            rows += [(-1 - p, _pack([spelled[i] for i in group])) for p, group in itertools.groupby(order, part.__getitem__)]
+            rows += [(-1 - p, _pack([spelled[i] for i in group])) for p, group in itertools.groupby(order, part.tolist().__getitem__)]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["slot", "chunk", "payload"])
 
         for b in slices(batches):
@@ -177,6 +178,8 @@ def _encoded(ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                     yield flush()
         if asked:
             yield flush()
+        numbers.clear()
+        released()
 
     return encoded
 
@@ -216,6 +219,9 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((chunk, part, _pack(tuple(answer))))
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["slot", "part", "payload"])
+    tokens.clear()
+    spelled.clear()
+    released()
 
 
 def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -249,6 +255,7 @@ def _assembled(home: pa.Table, answers: pa.Table) -> pa.Table:
             rows.append((doc_id, n, *(d.hexdigest() for d in digests)))
             at += count
     columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    released()
     return pa.table({name: pa.array(v, kind) for name, v, kind in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
@@ -92,11 +93,20 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def released() -> None:
+    """Give memory that Arrow and numpy have freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in smaller ones, so that few of them are Python objects at once."""
+    """The rows of batches in smaller ones, so that few of them are Python objects at once; memory is released at the end."""
     for b in batches:
         for start in range(0, b.num_rows, rows):
             yield b.slice(start, rows)
+    released()
 
 
 def words(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagedrift.llm.common import HEAVY_KEYS, HEAVY_ROWS, cut, heavy_keys, joined, lean, parts_for, saved, slices, unused
+from pagedrift.llm.common import HEAVY_KEYS, HEAVY_ROWS, cut, heavy_keys, joined, lean, parts_for, released, saved, slices, unused
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -28,7 +28,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Table keys that a task makes, in bytes.
 TABLE_BYTES = 32 << 20
 #: Text that is shingled at once, in bytes.
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 18
 
 _P = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -138,14 +138,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tensored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for s in range(0, b.num_rows, 500):
-            part = b.slice(s, 500)
-            keys = np.array(part.column(1).flatten()).astype(np.uint64).reshape(part.num_rows, 2, COLLECTIONS)
-            both = _mix(keys[:, 0, :, None] * np.uint64(_P) + keys[:, 1, None, :])
-            both = _mix(both + np.arange(COLLECTIONS**2, dtype=np.uint64).reshape(COLLECTIONS, COLLECTIONS))
-            ids = np.repeat(np.array(part.column(0)), COLLECTIONS**2)
-            yield pa.RecordBatch.from_arrays([pa.array(both.reshape(-1).astype(np.int64)), pa.array(ids, pa.int64())], ["key", "id"])
+    for part in slices(batches, 500):
+        keys = np.array(part.column(1).flatten()).astype(np.uint64).reshape(part.num_rows, 2, COLLECTIONS)
+        joint = _mix(keys[:, 0, :, None] * np.uint64(_P) + keys[:, 1, None, :])
+        joint = _mix(joint + np.arange(COLLECTIONS**2, dtype=np.uint64).reshape(COLLECTIONS, COLLECTIONS))
+        ids = np.repeat(np.array(part.column(0)), COLLECTIONS**2)
+        yield pa.RecordBatch.from_arrays([pa.array(joint.reshape(-1).astype(np.int64)), pa.array(ids, pa.int64())], ["key", "id"])
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,6 +188,7 @@ def _compare_blocks(percent: int):
                 if 100 * both >= percent * (size[p] + size[q] - both):
                     parent[r] = t
                     out.append((int(ids[p]), int(ids[q])))
+        released()
         return pa.table({"a": pa.array([v for v, _ in out], pa.int64()), "b": pa.array([w for _, w in out], pa.int64())})
 
     return compare
