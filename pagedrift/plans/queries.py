@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from pagedrift.functions import differences, fetching, text, urls
 from pagedrift.operators import coverage, events, export, queue, triage
-from pagedrift.plans import exports
+from pagedrift.plans import exports, scalars
 from pagedrift.plans import standins as t
 from pagedrift.sources import pages as page_source
 
@@ -281,5 +281,5 @@ def ingest_counters(spark, sf_dir):
     return triage.ingested(e, known, start).groupBy("label").agg(F.count("*").alias("n"))
 
 
-QUERIES |= exports.QUERIES
-SQL |= exports.SQL
+QUERIES |= exports.QUERIES | scalars.QUERIES
+SQL |= exports.SQL | scalars.SQL
