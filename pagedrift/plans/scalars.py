@@ -97,7 +97,7 @@ def local_times(spark, sf_dir):
 @query("""WITH b AS (SELECT doc_id, left(text, 500) AS a FROM documents), c AS (SELECT doc_id, CASE WHEN length(a) > 60 THEN '…' ELSE '' END || right(a, 60) AS shown FROM b) SELECT doc_id, '- ' || shown || chr(10) || '+ ' || shown || '@#added' AS snippet FROM c""")
 def appended_snippets(spark, sf_dir):
     head = F.substring("text", 1, 500)
-    d = t.read(spark, sf_dir, "documents")
+    d = t.spread(t.read(spark, sf_dir, "documents"))
     return d.select("doc_id", differences.change_snippet(head, F.concat(head, F.lit("@#added"))).alias("snippet"))
 
 
@@ -105,7 +105,7 @@ def appended_snippets(spark, sf_dir):
 def appended_words(spark, sf_dir):
     head = F.rtrim(F.substring("text", 1, 300), F.lit(" \n"))
     after = F.when(head == "", F.lit("@#new words")).otherwise(F.concat(head, F.lit(" @#new words")))
-    told = t.read(spark, sf_dir, "documents").select("doc_id", differences.word_diff(head, after).alias("c"))
+    told = t.spread(t.read(spark, sf_dir, "documents")).select("doc_id", differences.word_diff(head, after).alias("c"))
     return told.select("doc_id", F.array_join(F.transform("c", lambda x: F.concat(x["text"], F.lit(":"), x["tag"])), "|").alias("changes"))
 
 
