@@ -437,3 +437,35 @@ def test_sharding_follows_weights(spark):
     assert [round(share[j], 1) for j in range(3)] == [0.1, 0.2, 0.6] or abs(share[2] - 0.625) < 0.02
     with pytest.raises(ValueError):
         sharding.shard_of(F.lit("k"), [1.0, 0.0])
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Fake:
+        def __init__(self, master, named=None):
+            self.sparkContext = self.conf = self
+            self.master, self.named, self.dir = master, named, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, at):
+            self.dir = at
+
+        def get(self, name, default):
+            return self.named
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.with_checkpoint_dir(Fake("spark://host:7077"))
+    for fake in (Fake("spark://host:7077", "hdfs:///shared"), Fake("local[*]"), Fake("local")):
+        common.with_checkpoint_dir(fake)
+        assert fake.dir and (fake.named is None or fake.dir == fake.named)
+
+
+def test_heavy_keys_join_as_other_keys_do(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(100)], "k long, v long")
+    facts = spark.createDataFrame([(k, f"f{k}") for k in (0, 1, 70, 500)], "k long, f string")
+    heavy = common.heavy_keys(rows, ["k"], 20_000, 2_000)
+    assert sorted(r["k"] for r in heavy.collect()) == [0, 1, 2] and common.heavy_keys(rows, ["k"], 100) is None
+    for how in ("inner", "left"):
+        got, want = (sorted(map(str, df.select("k", "v", "f").collect())) for df in (common.joined(rows, facts, ["k"], heavy, how), rows.join(facts, ["k"], how)))
+        assert got == want
