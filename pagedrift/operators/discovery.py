@@ -15,6 +15,12 @@ ON_SITE, STALE_DAYS, CHILDREN, UNDATED_CHILDREN = 0.5, 30, 10, 5
 DATED = r"(19|20)\d{2}[-_/]?(0[1-9]|1[0-2])"
 
 
+# The wording of reasons.
+UNPARSED, EMPTY, SAME, STALE = "not RSS/Atom/sitemap", "parsed but empty", "same entries as ", "stale: newest entry "
+GENERAL, INDEX, CHILD = "no news sitemap; general sitemap selected", "index of dated news sitemaps", "dated child; parent index selected"
+UNDATED, SPARE = "no dated entries; likely sections, not articles", "verified, not needed"
+
+
 def measured(candidates: DataFrame, entries: DataFrame) -> DataFrame:
     """candidates(outlet_id, place, url, kind, root, source, parent) with entries, on_site_share, newest and same_as.
 
@@ -37,11 +43,11 @@ def reason_against(now: Column) -> Column:
     age = F.floor((F.unix_micros(now) - F.unix_micros("newest")) / F.lit(86_400_000_000))
     stale = (F.col("kind") != "sitemap_index") & (F.col("newest") < now - F.make_interval(days=F.lit(STALE_DAYS)))
     return (
-        F.when(F.col("kind").isNull(), "not RSS/Atom/sitemap")
-        .when(F.col("entries") <= 0, "parsed but empty")
-        .when(F.col("same_as").isNotNull(), F.concat(F.lit("same entries as "), F.col("same_as")))
+        F.when(F.col("kind").isNull(), UNPARSED)
+        .when(F.col("entries") <= 0, EMPTY)
+        .when(F.col("same_as").isNotNull(), F.concat(F.lit(SAME), F.col("same_as")))
         .when(F.col("on_site_share") < ON_SITE, F.concat(F.lit("only "), F.format_number(F.col("on_site_share") * 100, 0), F.lit("% of entries on "), F.col("root")))
-        .when(stale, F.concat(F.lit("stale: newest entry "), age.cast("string"), F.lit(" days old")))
+        .when(stale, F.concat(F.lit(STALE), age.cast("string"), F.lit(" days old")))
     )
 
 
@@ -67,12 +73,12 @@ def selected(candidates: DataFrame, now: Column) -> DataFrame:
     head = F.coalesce(F.col("_head"), F.lit(False))
     follows = head | F.coalesce(good & (feed | news) & ~dated, F.lit(False)) | F.coalesce(fallback, F.lit(False))
     reason = (
-        F.when(F.coalesce(fallback, F.lit(False)), "no news sitemap; general sitemap selected")
-        .when(head, "index of dated news sitemaps")
-        .when(F.coalesce(dated, F.lit(False)), "dated child; parent index selected")
+        F.when(F.coalesce(fallback, F.lit(False)), GENERAL)
+        .when(head, INDEX)
+        .when(F.coalesce(dated, F.lit(False)), CHILD)
         .when(~good, F.col("_bad"))
-        .when(~F.col("_news") & general & F.col("newest").isNull(), "no dated entries; likely sections, not articles")
-        .when(~follows, "verified, not needed")
+        .when(~F.col("_news") & general & F.col("newest").isNull(), UNDATED)
+        .when(~follows, SPARE)
     )
     return told.select(*candidates.columns, follows.alias("selected"), reason.alias("reason"))
 
@@ -80,7 +86,7 @@ def selected(candidates: DataFrame, now: Column) -> DataFrame:
 def followed(chosen: DataFrame) -> DataFrame:
     """What selected() comes to for each outlet: outlet_id, rss_urls, sitemap_urls (in order of trial), limitations."""
     urls = lambda kinds: F.transform(F.array_sort(F.collect_list(F.when(F.col("selected") & F.col("kind").isin(*kinds), F.struct("place", "url")))), lambda x: x["url"])
-    out = chosen.groupBy("outlet_id").agg(urls(["rss", "atom"]).alias("rss_urls"), urls(["news_sitemap", "sitemap", "sitemap_index"]).alias("sitemap_urls"), F.bool_or((F.col("kind") == "news_sitemap") & F.col("same_as").isNull() & (F.col("selected") | F.col("reason").startswith("dated child"))).alias("_news"))
+    out = chosen.groupBy("outlet_id").agg(urls(["rss", "atom"]).alias("rss_urls"), urls(["news_sitemap", "sitemap", "sitemap_index"]).alias("sitemap_urls"), F.bool_or((F.col("kind") == "news_sitemap") & F.col("same_as").isNull() & (F.col("selected") | (F.col("reason") == CHILD))).alias("_news"))
     none = lambda c: F.size(c) == 0
     limits = F.array_compact(F.array(F.when(none("rss_urls"), "no_rss"), F.when(none("sitemap_urls"), "no_sitemap").when(~F.coalesce(F.col("_news"), F.lit(False)), "no_news_sitemap")))
     return out.select("outlet_id", "rss_urls", "sitemap_urls", limits.alias("limitations"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value: the columns of the report of outlets.
+OUTLET_LINE = "%-17s %-4s %8d %8d %6d %8d %6s %8s %-9s %5d %4d  %s"
+
+
 def attempts(fetches: DataFrame) -> DataFrame:
     """A row for each attempt of each fetch, whatever came of it.
 
@@ -32,7 +36,7 @@ def outlet_report(stats: DataFrame) -> DataFrame:
     rate = F.when(F.col("snapshots") > 0, F.format_string("%.0f%%", F.col("archived") * 100 / F.col("snapshots"))).otherwise("-")
     median = F.when(F.col("median_length").isNotNull(), F.format_string("%.0f", F.col("median_length").cast("double"))).otherwise("-")
     told = F.array_join(F.transform(F.array_sort(F.map_entries("fetches")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
-    line = F.format_string("%-17s %-4s %8d %8d %6d %8d %6s %8s %-9s %5d %4d  %s", "slug", "language", "articles", "captured", "snapshots", "archived", rate, median, "health", "short", "errors", F.when(told == "", "-").otherwise(told))
+    line = F.format_string(OUTLET_LINE, "slug", "language", "articles", "captured", "snapshots", "archived", rate, median, "health", "short", "errors", F.when(told == "", "-").otherwise(told))
     return stats.select("slug", line.alias("line")).orderBy("slug")
 
 

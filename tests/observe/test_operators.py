@@ -208,28 +208,24 @@ def leaking(groups, contributing, held, least=3):
     return False
 
 
-def by_masks(groups, contributing, least=3):
-    """The plan by trying every choice of parts as a number in binary, in order."""
-    held = {g: "small_group" for g, m in groups.items() if len(m & contributing) < least}
-    again = True
-    while again:
-        again = False
+def by_every_choice(groups, contributing, least=3):
+    """The plan by trying every choice of parts, those without the later ones first."""
+    weight = {g: len(m & contributing) for g, m in groups.items()}
+    held = {g: "small_group" for g in groups if weight[g] < least}
+
+    def first():
         shown = [g for g in groups if g not in held]
         for whole in shown:
-            parts = [g for g in shown if g != whole and groups[g] < groups[whole]]
-            for mask in range(1, 1 << len(parts)):
-                some = [parts[i] for i in range(len(parts)) if mask >> i & 1]
-                union = set().union(*(groups[g] for g in some))
-                rest = groups[whole] - union
-                if sum(len(groups[g]) for g in some) != len(union) or not coverage.leaks(len(rest), len(rest & contributing), least):
-                    continue
-                victims = [g for g in some if g[0] != "all"]
-                if victims:
-                    held[min(victims, key=lambda g: (len(groups[g] & contributing), g))] = "complementary"
-                    again = True
-                    break
-            if again:
-                break
+            parts = [g for g in reversed(shown) if groups[g] < groups[whole] and g[0] != "all"]
+            for taken in itertools.product((False, True), repeat=len(parts)):
+                some = list(itertools.compress(parts, taken))
+                rest = groups[whole].difference(*(groups[g] for g in some))
+                if some and len(rest) + sum(len(groups[g]) for g in some) == len(groups[whole]) and coverage.leaks(len(rest), len(rest & contributing), least):
+                    return some
+        return []
+
+    while some := first():
+        held[min(some, key=lambda g: (weight[g], g))] = "complementary"
     return held
 
 
@@ -244,7 +240,7 @@ def test_suppression_leaves_no_residual_and_follows_the_rule():
             for key in names:
                 groups[("language", "tier")[family], key] = {o for o, of in outlets.items() if of[family] == key}
         held = coverage.plan_suppression(groups, {o: (1, int(o in contributing)) for o in outlets})
-        assert held == by_masks(groups, contributing)
+        assert held == by_every_choice(groups, contributing)
         assert not leaking(groups, contributing, set(held))
         kinds |= set(held.values())
         # Cells of outlets that are alike give the same.
