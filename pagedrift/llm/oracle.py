@@ -177,3 +177,35 @@ SELECT d.doc_id, length(d.text) AS n_chars, sha256(e.text) AS edited_sha256, fin
   CASE WHEN ue > 0 THEN ie / ue ELSE 1 END AS near_edited, CASE WHEN ub > 0 THEN ib / ub ELSE 1 END AS near_next
 FROM doc d JOIN edition e ON e.doc_id = d.doc_id AND e.edited JOIN like_of l ON l.doc_id = d.doc_id
 """
+
+
+def op9(path: str) -> str:
+    """Byte-pair encoding by the rank file at path: a white-space run before a word is cut before its last character, for the
+    pattern looks ahead; each distinct pre-token merges its pair of the lowest rank, the leftmost of equal ones, step by step."""
+    return f"""
+WITH RECURSIVE rank AS MATERIALIZED (
+  SELECT hex(from_base64(token)) AS token, id FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'token': 'VARCHAR', 'id': 'INTEGER'}})
+), piece AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\\s+)(\\s)(\\S)', '\\1' || chr(1) || '\\2\\3', 'g'), chr(1)) AS p FROM documents)
+), token AS MATERIALIZED (
+  SELECT doc_id, i, generate_subscripts(w, 1) AS j, unnest(w) AS word
+  FROM (SELECT doc_id, i, regexp_extract_all(piece, '''s|''t|''re|''ve|''m|''ll|''d| ?\\pL+| ?\\pN+| ?[^\\s\\pL\\pN]+|\\s+') AS w FROM piece)
+), word AS MATERIALIZED (
+  SELECT DISTINCT word, hex(encode(word)) AS bytes FROM token
+), split AS (
+  SELECT word, CASE WHEN id IS NOT NULL THEN [bytes] ELSE regexp_extract_all(bytes, '..') END AS parts FROM word LEFT JOIN rank ON token = bytes
+), merging AS (
+  SELECT word, parts, len(parts) > 1 AS more FROM split
+  UNION ALL
+  SELECT m.word, CASE WHEN at_i IS NOT NULL THEN list_concat(parts[1:at_i - 1], [parts[at_i] || parts[at_i + 1]], parts[at_i + 2:]) ELSE parts END, at_i IS NOT NULL
+  FROM merging m LEFT JOIN (
+    SELECT word, arg_min(k, (id, k)) AS at_i FROM (SELECT word, unnest(range(1, len(parts))) AS k, parts FROM merging WHERE more) JOIN rank ON token = parts[k] || parts[k + 1] GROUP BY word
+  ) b USING (word) WHERE more
+), coded AS MATERIALIZED (
+  SELECT word, count(*) AS n, string_agg(printf('%02x%02x%02x%02x', id & 255, (id >> 8) & 255, (id >> 16) & 255, (id >> 24) & 255), '' ORDER BY k) AS ids, string_agg(token, '' ORDER BY k) AS spelled
+  FROM (SELECT word, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM merging WHERE NOT more) JOIN rank ON token = part GROUP BY word
+)
+SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens, sha256(unhex(coalesce(string_agg(ids, '' ORDER BY i, j), ''))) AS ids_sha256, sha256(unhex(coalesce(string_agg(spelled, '' ORDER BY i, j), ''))) AS decoded_sha256
+FROM documents d LEFT JOIN token USING (doc_id) LEFT JOIN coded USING (word) GROUP BY d.doc_id
+"""

@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": oracle.OP1, "op4_rendezvous": oracle.op4(SHARDS), "op5_decontaminate": oracle.OP5, "op6_near_dup": oracle.OP6, "op7_preference": oracle.OP7, "op10_winnowing": oracle.OP10}
+    return {"op1_line_dedup": oracle.OP1, "op4_rendezvous": oracle.op4(SHARDS), "op5_decontaminate": oracle.OP5, "op6_near_dup": oracle.OP6, "op7_preference": oracle.OP7, "op9_bpe": oracle.op9(public_tokenizers.path("byte_bpe_50k.tiktoken")), "op10_winnowing": oracle.OP10}
