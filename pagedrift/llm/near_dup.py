@@ -293,10 +293,11 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
         other = few.select("grp", F.col("id").alias("b"), F.col("component").alias("other"))
         listed = few.select("grp", F.col("id").alias("a"), "component").join(other, "grp").where("a < b AND component <> other").select("a", "b").distinct()
         links = confirmed(alike(saved(listed.join(pairs, ["a", "b"], "left_anti"))))
-        large = rest.where((F.col("n") > PAIRED) | F.col("whole")).join(known, "id")
+        wide = rest.where((F.col("n") > PAIRED) | F.col("whole"))
+        large = wide.join(known, "id")
         if not large.isEmpty():
             sizes = large.groupBy("whole", "grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("of"))
-            blocks = saved(large.join(sizes, ["whole", "grp"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
+            blocks = saved(joined(large, sizes, ["whole", "grp"], heavy_keys(wide, ["whole", "grp"], wide.count())).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
             other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
             placed = blocks.select("whole", "grp", "id", "component", "keys", "block", other).select("whole", "grp", "id", "component", "keys", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
             met_blocks = placed.join(sets_of(blocks.select(F.col("id").alias("doc_id")).distinct()), "id")
