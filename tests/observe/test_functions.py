@@ -1,10 +1,14 @@
 """Functions on values that the rules name."""
 
+import difflib
 import random
+import time
+import tracemalloc
 from datetime import datetime
 from email.utils import parsedate_to_datetime
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagedrift.functions import differences, display, fetching, text, urls
@@ -91,6 +95,22 @@ def test_first_change_of_very_long_texts():
     assert differences.first_change("a" * 6000, "a" * 7000).endswith("a" * 60)
 
 
+def test_word_changes_are_packed_in_parts(spark):
+    rng = random.Random(6)
+    pairs = [tuple(" ".join(rng.choices("pqrstuvwxyz", k=300)) for _ in "ab") for _ in range(600)] + [(None, "x"), (None, None)]
+    a, b = (pa.array(x, pa.string()) for x in zip(*pairs))
+    tracemalloc.start()
+    got = differences._word_changes.func(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    assert got[:9].to_pylist() == [[{"text": t, "tag": k} for t, k in differences.word_changes(x, y)] for x, y in pairs[:9]]
+    assert got[-2:].to_pylist() == [[{"text": "x", "tag": "ins"}], []]
+    df = spark.createDataFrame([(1, "a " * 9999, "a " * 9998 + "b "), (2, "a " * 60_000, "b " * 60_000), (3, None, "w")], "id int, a string, b string")
+    told = {r["id"]: r["c"] for r in df.select("id", differences.word_diff(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert [tuple(x) for x in told[1]] == [("a " * 9998, "same"), ("a", "del"), ("b", "ins"), (" ", "same")] and told[2] is None and [tuple(x) for x in told[3]] == [("w", "ins")]
+
+
 def test_display(spark):
     fields = "from_headline string, to_headline string, from_byline string, to_byline string, from_published_at string, to_published_at string, from_final_url string, to_final_url string, body_diff string"
     kinds = ["HEADLINE_CHANGED", "BYLINE_REMOVED", "DATE_CHANGED", "REDIRECTED", "BODY_CHANGED", "GONE_404"]
