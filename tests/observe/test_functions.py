@@ -135,6 +135,15 @@ def test_first_change_of_a_text_within_another():
         assert differences._changed_spans(a, b) == by_difflib(a, b), (a, b)
 
 
+def test_word_changes_begin_after_the_common_words():
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200)) for _ in range(100)]
+    start = time.process_time()
+    got = [differences.word_changes(t, t + " @#new words") for t in texts]
+    assert time.process_time() - start < 0.2
+    assert got == [[(t, "same"), (" @#new words", "ins")] for t in texts]
+
+
 def test_display(spark):
     fields = "from_headline string, to_headline string, from_byline string, to_byline string, from_published_at string, to_published_at string, from_final_url string, to_final_url string, body_diff string"
     kinds = ["HEADLINE_CHANGED", "BYLINE_REMOVED", "DATE_CHANGED", "REDIRECTED", "BODY_CHANGED", "GONE_404"]
