@@ -144,6 +144,17 @@ def test_word_changes_begin_after_the_common_words():
     assert got == [[(t, "same"), (" @#new words", "ins")] for t in texts]
 
 
+def test_first_change_is_that_of_difflib():
+    rng = random.Random(9)
+    assert quicker(differences._changed_spans, by_difflib, [tuple("".join(rng.choices("abcdefgh ijklmnop", k=1200)) for _ in "ab") for _ in range(20)], 2)
+    for _ in range(2000):
+        letters = rng.choice(["ab", "abcdefgh", "a\u00e9\U0001f600"])
+        a, b = ("".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in "ab")
+        b = rng.choice([b, a[:5] + b, "".join(c if rng.random() < 0.9 else " " for c in a)])
+        if a != b:
+            assert differences._changed_spans(a, b) == by_difflib(a, b), (a, b)
+
+
 def test_display(spark):
     fields = "from_headline string, to_headline string, from_byline string, to_byline string, from_published_at string, to_published_at string, from_final_url string, to_final_url string, body_diff string"
     kinds = ["HEADLINE_CHANGED", "BYLINE_REMOVED", "DATE_CHANGED", "REDIRECTED", "BODY_CHANGED", "GONE_404"]
