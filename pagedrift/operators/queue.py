@@ -34,8 +34,10 @@ def transition(jobs: DataFrame, results: DataFrame) -> DataFrame:
 
     jobs: id, status, attempts, max_attempts, run_after, locked_by, locked_at, last_error, and more. complete: done. fail: one
     attempt more, parked as failed at the last one, else pending again after backoffs that double. release: pending, untouched.
+    Only what is kept of the errors of failures, ERROR_CHARS each, is moved and sorted with the rows.
     """
-    told = jobs.join(results.select("id", "action", "at", "error", "backoff_seconds"), "id", "left")
+    kept = F.when(F.col("action") == "fail", cut_error(F.col("error"))).alias("error")
+    told = jobs.join(results.select("id", "action", "at", kept, "backoff_seconds"), "id", "left")
     did = lambda *names: F.coalesce(F.col("action").isin(*names), F.lit(False))
     attempts = F.col("attempts") + F.when(did("complete", "fail"), 1).otherwise(0)
     parked = did("fail") & (attempts >= F.col("max_attempts"))
@@ -46,7 +48,7 @@ def transition(jobs: DataFrame, results: DataFrame) -> DataFrame:
         "run_after": F.when(did("fail") & ~parked, F.col("at") + wait).otherwise(F.col("run_after")),
         "locked_by": F.when(~did("complete", "fail", "release"), F.col("locked_by")),
         "locked_at": F.when(~did("complete", "fail", "release"), F.col("locked_at")),
-        "last_error": F.when(did("fail"), cut_error(F.col("error"))).otherwise(F.col("last_error")),
+        "last_error": F.when(did("fail"), F.col("error")).otherwise(F.col("last_error")),
     }
     return told.select(*[new[c].alias(c) if c in new else F.col(c) for c in jobs.columns])
 
